@@ -100,7 +100,7 @@ def max_alert_score(alerts: Column) -> Column:
     """Highest severity score of the alerts, 0 without alerts."""
     chain = None
     for name, score in R.ALERT_SCORES:
-        hit = F.exists(alerts, lambda a, name=name: a["severity"] == name)
+        hit = F.array_contains(alerts["severity"], name)
         chain = F.when(hit, score) if chain is None else chain.when(hit, score)
     return chain.otherwise(0.0)
 
@@ -108,7 +108,7 @@ def max_alert_score(alerts: Column) -> Column:
 def triage_status(prediction: Column, probability: Column, alerts: Column) -> Column:
     chain = F.when(prediction != "suspicious", R.TRIAGE_NONE)
     for status, level, limit, _ in R.TRIAGE_RULES:
-        hit = F.exists(alerts, lambda a, level=level: a["severity"] == level) | (probability > limit)
+        hit = F.array_contains(alerts["severity"], level) | (probability > limit)
         chain = chain.when(hit, status)
     return chain.otherwise(R.TRIAGE_MONITOR[0])
 

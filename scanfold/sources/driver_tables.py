@@ -119,6 +119,11 @@ def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(system == "", F.slice(match, F.lit(1), F.lit(0))).otherwise(match).alias("os_matches"))
 
 
+def scan_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scan ids; for a stored table this is its partition list."""
+    return _line_ports(table(spark, sf_dir, "lineitem")).select("scan_id").distinct()
+
+
 def host_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested host records: ports, name, vendor and systems in one row per host."""
     from scanfold.operators.ports import nest_ports

@@ -17,4 +17,4 @@ def query(key: str, sql: str | None = None):
 
 
 def load() -> None:
-    from scanfold.workload import ports, sources  # noqa: F401
+    from scanfold.workload import baseline, hosts, ports, sources  # noqa: F401
