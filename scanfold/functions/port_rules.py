@@ -1,167 +1,158 @@
-"""Column expressions over one open port.
+"""Rules over one open port.
 
-Every function takes ``get``, which maps a field name to a column. The same
-expression therefore serves a flat ``port_obs`` row (``F.col``) and an element
-of a nested ``open_ports`` array (a lambda variable).
+The ``*_sql`` functions return SQL text. Their ``at`` prefix says where the port fields
+are: empty for a flat ``port_obs`` row, ``p.`` for an element ``p`` of a nested array. The
+other functions are columns over a flat row.
 """
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scanfold.functions.sql_text import case, contains_any, numbers, quote, strings
 from scanfold.values import ports as V
 from scanfold.values import rules as R
 
 # Whitespace as text splitting understands it, beyond the ASCII blanks.
-WHITESPACE = r"[\x09-\x0d\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+WHITESPACE = r"[\x09-\x0d\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
+GROUP_NAMES = list(V.PORT_GROUPS)
+FLAG_NAMES = [flag for flag, _ in V.HOST_FLAGS]
 
-def flat(name: str) -> Column:
-    return F.col(name)
 
+def group_bit(group: str) -> int:
+    return 1 << GROUP_NAMES.index(group)
 
-def lower_service(get=flat) -> Column:
-    return F.lower(F.coalesce(get("service"), F.lit("")))
 
+def port_facts() -> list:
+    """Per known port: profile fields, risk score, group bits and flag bits."""
+    profiles = {row[0]: row for row in V.PORT_PROFILES}
+    known = sorted(set(profiles).union(*V.PORT_GROUPS.values()))
+    rows = []
+    for port in known:
+        _, name, category, risk, description, advice = profiles.get(port, (port, *[None] * 5))
+        groups = sum(group_bit(g) for g, members in V.PORT_GROUPS.items() if port in members)
+        flags = sum(1 << i for i, (_, members) in enumerate(V.HOST_FLAGS) if port in members)
+        rows.append((port, name, category, risk, V.RISK_SCORES.get(risk), description, advice,
+                     groups, flags))
+    return rows
 
-def contains_any(text: Column, tokens) -> Column:
-    found = F.lit(False)
-    for token in tokens:
-        found = found | text.contains(token)
-    return found
 
+def service_sql(at: str = "") -> str:
+    return f"lower(coalesce({at}service, ''))"
 
-def service_bucket(service: Column) -> Column:
-    """Bucket of a service name; the first matching bucket wins."""
-    name = F.lower(F.coalesce(service, F.lit("")))
-    chain = F.when(contains_any(name, V.SERVICE_BUCKETS[0][1]), V.SERVICE_BUCKETS[0][0])
-    for bucket, tokens in V.SERVICE_BUCKETS[1:]:
-        chain = chain.when(contains_any(name, tokens), bucket)
-    return chain.otherwise(V.OTHER_BUCKET)
 
+def bucket_sql(at: str = "") -> str:
+    service = service_sql(at)
+    return case([(contains_any(service, tokens), quote(bucket)) for bucket, tokens in V.SERVICE_BUCKETS],
+                quote(V.OTHER_BUCKET))
 
-def token_category(service_lower: Column) -> Column:
-    """Category of the first known token in a lower-cased service, null if none."""
-    token, category = V.SERVICE_TOKENS[0]
-    chain = F.when(service_lower.contains(token), category)
-    for token, category in V.SERVICE_TOKENS[1:]:
-        chain = chain.when(service_lower.contains(token), category)
-    return chain
 
+def token_category_sql(at: str = "") -> str:
+    """Category of the first known token in the service, null if none."""
+    service = service_sql(at)
+    return case([(f"contains({service}, {quote(t)})", quote(c)) for t, c in V.SERVICE_TOKENS])
 
-def _profiled(field: int, value: str) -> list:
-    return [row[0] for row in V.PORT_PROFILES if row[field] == value]
 
+def category_sql(profile_category: str, at: str = "") -> str:
+    """Profile category; unprofiled ports take it from the service name."""
+    return f"coalesce({profile_category}, {token_category_sql(at)}, {quote(V.UNPROFILED_CATEGORY)})"
 
-def port_category(get=flat) -> Column:
-    """Profile category of a port; unprofiled ports take it from the service name."""
-    chain = None
-    for category in dict.fromkeys(row[2] for row in V.PORT_PROFILES):
-        match = get("port").isin(_profiled(2, category))
-        chain = F.when(match, category) if chain is None else chain.when(match, category)
-    return chain.otherwise(
-        F.coalesce(token_category(lower_service(get)), F.lit(V.UNPROFILED_CATEGORY)))
 
+def risk_sql(profile_score: str, at: str = "") -> str:
+    """Profile score, at least ``high`` for a cleartext service name."""
+    base = f"coalesce({profile_score}, {V.RISK_SCORES[V.UNPROFILED_RISK]})"
+    raised = f"greatest({base}, {V.RISK_SCORES['high']})"
+    return f"CASE WHEN contains({service_sql(at)}, {quote(V.CLEARTEXT_TOKEN)}) THEN {raised} ELSE {base} END"
 
-def raised_risk(score: Column, get=flat) -> Column:
-    """A cleartext service name lifts a lower score to the score of ``high``."""
-    high = V.RISK_SCORES["high"]
-    cleartext = lower_service(get).contains(V.CLEARTEXT_TOKEN)
-    return F.when(cleartext & (score < high), high).otherwise(score)
 
-
-def port_risk_score(get=flat) -> Column:
-    """Risk score 1-4 of a port."""
-    base = F.when(get("port").isin(_profiled(3, "critical")), V.RISK_SCORES["critical"])
-    for level in ("high", "medium"):
-        base = base.when(get("port").isin(_profiled(3, level)), V.RISK_SCORES[level])
-    return raised_risk(base.otherwise(V.RISK_SCORES[V.UNPROFILED_RISK]), get)
+def level_sql(score: str) -> str:
+    return f"element_at(array({strings(V.RISK_SCORES)}), {score})"
 
 
-def risk_level(score: Column) -> Column:
-    chain = None
-    for level, value in V.RISK_SCORES.items():
-        chain = F.when(score == value, level) if chain is None else chain.when(score == value, level)
-    return chain
-
+def unknown_sql(at: str = "") -> str:
+    """Trimmed, lower-cased service is empty or ``unknown``."""
+    return f"trim({service_sql(at)}) IN ({strings(R.UNKNOWN_SERVICE_NAMES)})"
 
-def in_group(group: str, get=flat) -> Column:
-    return get("port").isin(V.PORT_GROUPS[group])
 
+def lookup_sql(field: int, port: str, value=quote) -> str:
+    """A fact of a port by its number, as a CASE over the distinct values."""
+    by_value = {}
+    for row in port_facts():
+        if row[field]:
+            by_value.setdefault(row[field], []).append(row[0])
+    return case([(f"{port} IN ({numbers(ports)})", value(v)) for v, ports in by_value.items()])
 
-def is_blank(text: Column) -> Column:
-    return F.coalesce(text, F.lit("")) == ""
 
+# --- columns over a flat row -------------------------------------------------
 
-def is_versioned(get=flat) -> Column:
-    return ~is_blank(get("product")) | ~is_blank(get("version"))
+def service_bucket() -> Column:
+    """Bucket of the service name; the first matching bucket wins."""
+    return F.expr(bucket_sql())
 
 
-def is_unnamed(get=flat) -> Column:
-    """Exactly empty or ``unknown``, without trimming or case folding."""
-    return is_blank(get("service")) | (get("service") == "unknown")
+def port_category() -> Column:
+    return F.expr(category_sql(lookup_sql(2, "port")))
 
 
-def is_encrypted(get=flat) -> Column:
-    return (F.coalesce(get("tunnel"), F.lit("")) == "ssl") | in_group("encrypted", get)
+def port_risk_score() -> Column:
+    """Risk score 1-4 of a port."""
+    return F.expr(risk_sql(lookup_sql(4, "port", str)))
 
 
-def is_uncommon(get=flat) -> Column:
-    return (get("port") > V.UNCOMMON_PORT_MIN) & ~in_group("common_high", get)
+def risk_level(score: str) -> Column:
+    return F.expr(level_sql(score))
 
 
-def is_unknown_service(get=flat) -> Column:
-    """Trimmed, lower-cased service is empty or ``unknown``."""
-    return F.trim(lower_service(get)).isin(R.UNKNOWN_SERVICE_NAMES)
+def is_unknown_service() -> Column:
+    return F.expr(unknown_sql())
 
 
-def has_enrichment(get=flat) -> Column:
+def has_enrichment() -> Column:
     """A second look or a guess has already been made for this port."""
-    return ((F.coalesce(get("service_source"), F.lit("")) == R.SOURCE_ENRICHED)
-            | ~is_blank(get("service_guess")) | ~is_blank(get("device_guess"))
-            | ~is_blank(get("guess_evidence")))
+    return F.expr(
+        f"coalesce(service_source, '') = {quote(R.SOURCE_ENRICHED)} OR coalesce(service_guess, '') <> '' "
+        "OR coalesce(device_guess, '') <> '' OR coalesce(guess_evidence, '') <> ''")
 
 
-def default_service_source(get=flat) -> Column:
+def default_service_source() -> Column:
     """The given source, or one derived from whether the service is known."""
-    return F.when(is_blank(get("service_source")),
-                  F.when(is_unknown_service(get), R.SOURCE_GUESS).otherwise(R.SOURCE_SCAN)
-                  ).otherwise(get("service_source"))
+    return F.expr(
+        f"CASE WHEN coalesce(service_source, '') <> '' THEN service_source WHEN {unknown_sql()} "
+        f"THEN {quote(R.SOURCE_GUESS)} ELSE {quote(R.SOURCE_SCAN)} END")
 
 
-def collapse_whitespace(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), WHITESPACE + "+", " "))
+def script_summary(scripts: str = "scripts") -> Column:
+    """The first scripts as ``id: output``, long outputs cut with an ellipsis."""
+    spaces = WHITESPACE.replace("\\", "\\\\")
+    clean = f"trim(regexp_replace(coalesce(s.output, ''), '{spaces}', ' '))"
+    keep = R.SCRIPT_MAX_LENGTH
+    return F.expr(f"""array_join(transform(
+        transform(slice({scripts}, 1, {R.SCRIPT_LIMIT}), s -> named_struct('id', s.id, 'text', {clean})),
+        s -> CASE WHEN s.text = '' THEN s.id WHEN length(s.text) > {keep}
+             THEN concat(s.id, ': ', substring(s.text, 1, {keep - 3}), '...')
+             ELSE concat(s.id, ': ', s.text) END), ' | ')""")
 
 
-def script_summary(scripts: Column) -> Column:
-    """The first scripts as ``id: output``, long outputs cut with an ellipsis."""
-    def one(script):
-        text = collapse_whitespace(script["output"])
-        short = F.when(
-            F.length(text) > R.SCRIPT_MAX_LENGTH,
-            F.concat(F.substring(text, 1, R.SCRIPT_MAX_LENGTH - 3), F.lit("..."))).otherwise(text)
-        return F.when(short == "", script["id"]).otherwise(
-            F.concat(script["id"], F.lit(": "), short))
-    return F.array_join(F.transform(F.slice(scripts, 1, R.SCRIPT_LIMIT), one), " | ")
+def script_text_sql(scripts: str = "scripts") -> str:
+    return (f"lower(array_join(flatten(transform({scripts}, "
+            "s -> array(coalesce(s.id, ''), coalesce(s.output, '')))), ' '))")
 
 
-def script_text(scripts: Column) -> Column:
+def script_text() -> Column:
     """All script ids and outputs, space-joined and lower-cased."""
-    parts = F.flatten(F.transform(scripts, lambda s: F.array(
-        F.coalesce(s["id"], F.lit("")), F.coalesce(s["output"], F.lit("")))))
-    return F.lower(F.array_join(parts, " "))
+    return F.expr(script_text_sql())
 
 
-def product_version(product: Column, version: Column) -> Column:
-    return F.trim(F.concat(F.coalesce(product, F.lit("")), F.lit(" "),
-                           F.coalesce(version, F.lit(""))))
+def product_version_sql(at: str = "") -> str:
+    return f"trim(concat(coalesce({at}product, ''), ' ', coalesce({at}version, '')))"
 
 
-def risky_port_list(score: Column) -> Column:
+def risky_port_list(score: str) -> Column:
     """Aggregate: high and critical ports of a group as ``port/level`` in record order."""
-    entry = F.when(score >= V.RISK_SCORES["high"], F.struct(
-        F.col("pos"), F.concat(F.col("port").cast("string"), F.lit("/"), risk_level(score)).alias("t")))
-    return F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["t"]), ";")
+    return F.expr(f"""array_join(transform(array_sort(collect_list(CASE WHEN {score} >= {V.RISK_SCORES['high']}
+        THEN named_struct('pos', pos, 't', concat(cast(port AS string), '/', {level_sql(score)})) END)),
+        e -> e.t), ';')""")
 
 
-def or_none(text: Column) -> Column:
-    return F.when(F.coalesce(text, F.lit("")) == "", "None").otherwise(text)
+def or_none(name: str) -> Column:
+    return F.expr(f"CASE WHEN coalesce({name}, '') = '' THEN 'None' ELSE {name} END")

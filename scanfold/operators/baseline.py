@@ -82,10 +82,9 @@ def closed_ports(current: DataFrame, baseline: DataFrame) -> DataFrame:
 
 def version_changes(current: DataFrame, baseline: DataFrame) -> DataFrame:
     """Ports open in both whose product and version text differ and are not empty."""
-    now = current.select(*KEYS, "port", "service",
-                         P.product_version(F.col("product"), F.col("version")).alias("to_version"))
-    then = baseline.select(*KEYS, "port",
-                           P.product_version(F.col("product"), F.col("version")).alias("from_version"))
+    text = P.product_version_sql()
+    now = current.selectExpr(*KEYS, "port", "service", f"{text} AS to_version")
+    then = baseline.selectExpr(*KEYS, "port", f"{text} AS from_version")
     return now.join(then, [*KEYS, "port"]).filter(
         (F.col("from_version") != "") & (F.col("to_version") != "")
         & (F.col("from_version") != F.col("to_version"))).select(
@@ -107,7 +106,7 @@ def host_diff(current: DataFrame, baseline: DataFrame) -> DataFrame:
     The arrays of a host hold at most its ports.
     """
     def text(side):
-        return P.product_version(F.col(f"{side}.product"), F.col(f"{side}.version"))
+        return F.expr(P.product_version_sql(f"{side}."))
 
     def side(frame, name):
         return frame.select(*KEYS, "port", F.struct("service", "product", "version").alias(name))

@@ -4,7 +4,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanfold.functions import port_rules as P
-from scanfold.operators.shuffle import latest
+from scanfold.functions.sql_text import case, contains_any, numbers, quote, strings
+from scanfold.operators.shuffle import latest, salted_join
 from scanfold.values import ports as V
 from scanfold.values import rules as R
 
@@ -75,78 +76,80 @@ def host_context(port_obs: DataFrame, hosts: DataFrame) -> DataFrame:
     No token holds a blank, so a token found in the joined host text is found in one of
     its parts; each part is tested where it lies and only booleans are combined.
     """
-    def any_token(tokens, columns):
-        hit = F.lit(False)
-        for c in columns:
-            hit = hit | P.contains_any(c, tokens)
-        return F.bool_or(hit)
-
-    texts = [F.lower(F.coalesce(F.col(c), F.lit(""))) for c in
-             ("service", "product", "version", "extrainfo")] + [P.script_text(F.col("scripts"))]
-    by_port = port_obs.groupBy(*KEYS).agg(
-        (any_token(R.APPLE_TOKENS, texts)
-         | F.bool_or(F.col("port").isin(R.APPLE_PORTS) | P.lower_service().isin(R.APPLE_SERVICES))
-         ).alias("apple_port"),
-        any_token(R.MEDIA_TOKENS, texts).alias("media_port"),
-        (any_token(R.PRINTER_TOKENS, texts) | F.bool_or(F.col("port").isin(R.PRINTER_PORTS))
-         ).alias("printer_port"),
-        F.bool_or(F.col("port").isin(V.PORT_GROUPS["web"])).alias("has_web_admin"))
-    words = F.lower(F.concat_ws(" ", F.coalesce("hostname", F.lit("")), F.coalesce("vendor", F.lit("")),
-                                F.transform("os_matches", lambda m: m["name"])))
-    joined = hosts.select(*KEYS, words.alias("words")).join(by_port, KEYS, "left")
+    def any_token(tokens, texts):
+        return "bool_or(" + " OR ".join(contains_any(text, tokens) for text in texts) + ")"
+
+    fields = ["f_service", "f_product", "f_version", "f_extrainfo", "f_scripts"]
+    lowered = port_obs.selectExpr(
+        *KEYS, "port", *[f"lower(coalesce({f[2:]}, '')) AS {f}" for f in fields[:4]],
+        f"{P.script_text_sql()} AS f_scripts")
+    by_port = lowered.groupBy(*KEYS).agg(
+        F.expr(f"{any_token(R.APPLE_TOKENS, fields)} OR bool_or(port IN ({numbers(R.APPLE_PORTS)}) "
+               f"OR f_service IN ({strings(R.APPLE_SERVICES)}))").alias("apple_port"),
+        F.expr(any_token(R.MEDIA_TOKENS, fields)).alias("media_port"),
+        F.expr(f"{any_token(R.PRINTER_TOKENS, fields)} OR bool_or(port IN ({numbers(R.PRINTER_PORTS)}))"
+               ).alias("printer_port"),
+        F.expr(f"bool_or(port IN ({numbers(V.PORT_GROUPS['web'])}))").alias("web_port"))
+    words = ("lower(concat_ws(' ', coalesce(hostname, ''), coalesce(vendor, ''), "
+             "transform(os_matches, m -> m.name))) AS words")
+    joined = hosts.selectExpr(*KEYS, words).join(by_port, KEYS, "left")
 
     def signal(tokens, port_signal):
-        return P.contains_any(F.col("words"), tokens) | F.coalesce(F.col(port_signal), F.lit(False))
+        return f"{contains_any('words', tokens)} OR coalesce({port_signal}, false)"
 
-    return joined.select(
-        *KEYS, signal(R.APPLE_TOKENS, "apple_port").alias("has_apple"),
-        signal(R.MEDIA_TOKENS, "media_port").alias("has_media"),
-        signal(R.PRINTER_TOKENS, "printer_port").alias("has_printer_sign"),
-        F.coalesce("has_web_admin", F.lit(False)).alias("has_web_admin"))
+    return joined.selectExpr(
+        *KEYS, f"{signal(R.APPLE_TOKENS, 'apple_port')} AS has_apple",
+        f"{signal(R.MEDIA_TOKENS, 'media_port')} AS has_media",
+        f"{signal(R.PRINTER_TOKENS, 'printer_port')} AS has_printer_sign",
+        "coalesce(web_port, false) AS has_web_admin")
 
 
 def _guess_columns() -> dict:
-    port = F.col("port")
-    apple, media, printer, web = (F.col(c) for c in (
-        "has_apple", "has_media", "has_printer_sign", "has_web_admin"))
-    ephemeral = port >= V.EPHEMERAL_PORT_MIN
-    only_media = media & ~apple
-    only_printer = printer & ~apple & ~media
-    only_web = web & ~apple & ~media & ~printer
-    media_port = port.isin(V.PORT_GROUPS["media"])
-    s, d, e, k = R.GUESS_SERVICE, R.GUESS_DEVICE, R.GUESS_EVIDENCE, R.GUESS_CONFIDENCE
-
-    service = (F.when(apple & ephemeral, s["apple_dynamic"])
-               .when(apple & media, s["apple_media"])
-               .when(only_media & media_port, s["media_port"])
-               .when(only_media & ephemeral, s["media_dynamic"])
-               .when(only_printer & (port >= V.UNCOMMON_PORT_MIN), s["printer"])
-               .when(ephemeral, s["ephemeral"]).otherwise(s["none"]))
-    device = (F.when(apple, d["apple"]).when(media, d["media"]).when(printer, d["printer"])
-              .when(web, d["web_admin"]).otherwise(d["none"]))
+    """SQL text of the guessed columns, from the port and the host signals."""
+    ephemeral = f"port >= {V.EPHEMERAL_PORT_MIN}"
+    media_port = f"port IN ({numbers(V.PORT_GROUPS['media'])})"
+    only_media = "has_media AND NOT has_apple"
+    only_printer = "has_printer_sign AND NOT has_apple AND NOT has_media"
+    only_web = "has_web_admin AND NOT (has_apple OR has_media OR has_printer_sign)"
+    s, d, e = ({name: quote(text) for name, text in values.items()} for values in (
+        R.GUESS_SERVICE, R.GUESS_DEVICE, R.GUESS_EVIDENCE))
+    k = R.GUESS_CONFIDENCE
+    service = case([
+        (f"has_apple AND {ephemeral}", s["apple_dynamic"]), ("has_apple AND has_media", s["apple_media"]),
+        (f"{only_media} AND {media_port}", s["media_port"]),
+        (f"{only_media} AND {ephemeral}", s["media_dynamic"]),
+        (f"{only_printer} AND port >= {V.UNCOMMON_PORT_MIN}", s["printer"]),
+        (ephemeral, s["ephemeral"])], s["none"])
+    device = case([("has_apple", d["apple"]), ("has_media", d["media"]), ("has_printer_sign", d["printer"]),
+                   ("has_web_admin", d["web_admin"])], d["none"])
     steps = [
-        (ephemeral, k["ephemeral"]), (apple & ephemeral, k["apple_dynamic"]),
-        (apple & ~ephemeral & media, k["apple_media"]), (only_media & media_port, k["media_port"]),
-        (only_media & ~media_port & ephemeral, k["media_dynamic"]),
-        (only_printer, k["printer"]), (only_web, k["web_admin"]),
-    ]
-    confidence = F.greatest(F.lit(k["none"]), *[
-        F.when(cond, value).otherwise(0.0) for cond, value in steps])
-    texts = [(ephemeral, e["ephemeral"]), (apple, e["apple"]), (only_media, e["media"]),
+        (ephemeral, k["ephemeral"]), (f"has_apple AND {ephemeral}", k["apple_dynamic"]),
+        (f"has_apple AND NOT {ephemeral} AND has_media", k["apple_media"]),
+        (f"{only_media} AND {media_port}", k["media_port"]),
+        (f"{only_media} AND NOT {media_port} AND {ephemeral}", k["media_dynamic"]),
+        (only_printer, k["printer"]), (only_web, k["web_admin"])]
+    confidence = f"greatest({k['none']}D, " + ", ".join(
+        f"CASE WHEN {cond} THEN {value}D ELSE 0D END" for cond, value in steps) + ")"
+    texts = [(ephemeral, e["ephemeral"]), ("has_apple", e["apple"]), (only_media, e["media"]),
              (only_printer, e["printer"]), (only_web, e["web_admin"])]
-    evidence = F.concat_ws("; ", *[F.when(cond, text) for cond, text in texts])
+    evidence = "concat_ws('; ', " + ", ".join(f"CASE WHEN {cond} THEN {text} END" for cond, text in texts) + ")"
     return {
-        "service_source": F.lit(R.SOURCE_GUESS), "service_guess": service, "device_guess": device,
-        "guess_confidence": F.round(F.least(confidence, F.lit(k["max"])), 2),
-        "guess_evidence": F.when(evidence == "", e["none"]).otherwise(evidence),
+        "service_source": quote(R.SOURCE_GUESS), "service_guess": service, "device_guess": device,
+        "guess_confidence": f"round(least({confidence}, {k['max']}D), 2)",
+        "guess_evidence": f"coalesce(nullif({evidence}, ''), {e['none']})",
     }
 
 
+def _with_guesses(rows: DataFrame, when: str) -> DataFrame:
+    return rows.withColumns({c: F.expr(f"CASE WHEN {when} THEN {v} ELSE {c} END")
+                             for c, v in _guess_columns().items()})
+
+
 def guess_unknown_ports(port_obs: DataFrame, hosts: DataFrame) -> DataFrame:
     """Guesses for the unknown ports only, one row per unknown port."""
     context = host_context(port_obs, hosts)
     unknown = with_guess_columns(port_obs).filter(P.is_unknown_service())
-    return unknown.join(context, KEYS, "left").withColumns(_guess_columns()).drop(
+    return _with_guesses(unknown.join(context, KEYS, "left"), "true").drop(
         "has_apple", "has_media", "has_printer_sign", "has_web_admin")
 
 
@@ -154,9 +157,7 @@ def apply_guesses(port_obs: DataFrame, hosts: DataFrame) -> DataFrame:
     """Whole table with default sources, and guesses on its unknown ports."""
     base = set_default_sources(with_guess_columns(port_obs))
     joined = base.join(host_context(base, hosts), KEYS, "left")
-    unknown = P.is_unknown_service()
-    changes = {c: F.when(unknown, v).otherwise(F.col(c)) for c, v in _guess_columns().items()}
-    return joined.withColumns(changes).select(*base.columns)
+    return _with_guesses(joined, P.unknown_sql()).select(*base.columns)
 
 
 def enrich_unknown_ports(port_obs: DataFrame, hosts: DataFrame,
@@ -165,12 +166,9 @@ def enrich_unknown_ports(port_obs: DataFrame, hosts: DataFrame,
 
     A scan without an open question keeps its rows as they are.
     """
-    from scanfold.operators.shuffle import salted_join
     base = with_guess_columns(set_default_sources(port_obs))
     gate = needs_enrichment(base)
     merged = merge_second_pass(base, second) if second is not None else base
     gated = salted_join(merged, gate, ["scan_id"], ["ip", "port"])
     joined = gated.join(host_context(merged, hosts), KEYS, "left")
-    guess = F.col("needs_enrichment") & P.is_unknown_service()
-    changes = {c: F.when(guess, v).otherwise(F.col(c)) for c, v in _guess_columns().items()}
-    return joined.withColumns(changes).select(*base.columns)
+    return _with_guesses(joined, f"needs_enrichment AND {P.unknown_sql()}").select(*base.columns)

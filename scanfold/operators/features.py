@@ -5,155 +5,137 @@
 the nested table and needs no shuffle, since a host is already one row.
 """
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanfold.functions import port_rules as P
+from scanfold.functions.sql_text import quote
 from scanfold.values import ports as V
 
 KEYS = ["scan_id", "ip"]
 
 
-def _conditions(get, bucket: Column, category: Column, score: Column) -> dict:
-    """Count features as conditions over one port."""
+def port_dimension(spark: SparkSession) -> DataFrame:
+    """The known ports, one row each, so its size is fixed."""
+    names = ["port", "profile_name", "profile_category", "profile_risk", "profile_score",
+             "profile_description", "profile_recommendation", "group_bits", "flag_bits"]
+    columns = dict(zip(names, map(list, zip(*P.port_facts()))))
+    for name in ("port", "profile_score"):
+        columns[name] = pa.array(columns[name], pa.int32())
+    return spark.createDataFrame(pa.table(columns))
+
+
+def _conditions(at: str = "") -> dict:
+    """Count features as SQL conditions over one measured port."""
+    def group(name):
+        return f"coalesce({at}group_bits & {P.group_bit(name)}, 0) <> 0"
+    high, critical = V.RISK_SCORES["high"], V.RISK_SCORES["critical"]
     conditions = {
-        "risky_port_count": P.in_group("risky", get),
-        "very_risky_port_count": P.in_group("very_risky", get),
-        "critical_port_count": score >= V.RISK_SCORES["critical"],
-        "high_detail_risk_port_count": score >= V.RISK_SCORES["high"],
-        "uncommon_open_count": P.is_uncommon(get),
+        "risky_port_count": group("risky"), "very_risky_port_count": group("very_risky"),
+        "critical_port_count": f"{at}score >= {critical}",
+        "high_detail_risk_port_count": f"{at}score >= {high}",
+        "uncommon_open_count": f"{at}port > {V.UNCOMMON_PORT_MIN} AND NOT {group('common_high')}",
     }
     for name in ("remote_access", "cleartext", "admin_port", "iot_port", "mail", "db", "fileshare",
                  "web"):
-        conditions[f"{name}_count"] = P.in_group(name.removesuffix("_port"), get)
-    conditions["versioned_service_count"] = P.is_versioned(get)
-    conditions["unknown_service_count"] = P.is_unnamed(get)
-    conditions["encrypted_service_count"] = P.is_encrypted(get)
+        conditions[f"{name}_count"] = group(name.removesuffix("_port"))
+    conditions["versioned_service_count"] = f"coalesce({at}product, '') <> '' OR coalesce({at}version, '') <> ''"
+    conditions["unknown_service_count"] = f"coalesce({at}service, '') IN ('', 'unknown')"
+    conditions["encrypted_service_count"] = f"coalesce({at}tunnel, '') = 'ssl' OR {group('encrypted')}"
     for name in [b for b, _ in V.SERVICE_BUCKETS] + [V.OTHER_BUCKET]:
-        conditions[f"service_{name}_count"] = bucket == name
+        conditions[f"service_{name}_count"] = f"{at}bucket = {quote(name)}"
     for name in V.COUNTED_CATEGORIES:
-        conditions[f"profile_{name}_count"] = category == name
+        conditions[f"profile_{name}_count"] = f"{at}category = {quote(name)}"
     return conditions
 
 
-def _columns() -> list:
-    probe = F.lit("")
-    counts = list(_conditions(P.flat, probe, probe, F.lit(0)))
+def feature_columns() -> list:
+    """The 68 model features, in table order."""
+    counts = list(_conditions())
     head, tail = counts[:4], counts[4:]
     at = tail.index("service_web_count")
     return (["open_port_count"] + head + ["max_port_risk_score", "avg_port_risk_score"]
             + tail[:at] + ["nse_script_count"] + tail[at:] + [flag for flag, _ in V.HOST_FLAGS])
 
 
-def feature_columns() -> list:
-    """The 68 model features, in table order."""
-    return _columns()
+def port_measures(port_obs: DataFrame) -> DataFrame:
+    """Add group and flag bits, service bucket, category and risk score to each port."""
+    dim = port_dimension(port_obs.sparkSession).select(
+        "port", "profile_category", "profile_score", "group_bits", "flag_bits")
+    return port_obs.join(F.broadcast(dim), "port", "left").selectExpr(
+        *port_obs.columns, "group_bits", "flag_bits", f"{P.bucket_sql()} AS bucket",
+        f"{P.category_sql('profile_category')} AS category", f"{P.risk_sql('profile_score')} AS score")
 
 
-def port_measures(port_obs: DataFrame) -> DataFrame:
-    """Add service bucket, profile category, risk score and flag bits to each port."""
-    bits = F.lit(0).cast("bigint")
-    for i, (_, ports) in enumerate(V.HOST_FLAGS):
-        bits = bits + F.when(F.col("port").isin(ports), F.lit(1 << i).cast("bigint")).otherwise(0)
-    return port_obs.withColumns({
-        "service_bucket": P.service_bucket(F.col("service")),
-        "port_category": P.port_category(),
-        "port_risk_score": P.port_risk_score(),
-        "flag_bits": bits,
-    })
-
-
-def host_features(port_obs: DataFrame, hosts: DataFrame | None = None,
-                  top_ports: bool = False) -> DataFrame:
+def host_features(port_obs: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
     """Features from the flat table.
 
     With ``hosts`` every listed host is kept, also one without any port left; its
-    features are zero. With ``top_ports`` the risky ports of the host are listed in the
-    same pass, as ``top_risk_ports``.
+    features are zero. The host name is a grouping key and all aggregates are numbers, so
+    Spark can aggregate by hash; a text aggregate would force it to sort all ports.
     """
-    measured = port_measures(port_obs)
-    conditions = _conditions(P.flat, F.col("service_bucket"), F.col("port_category"),
-                             F.col("port_risk_score"))
-    aggs = [F.max("hostname").alias("hostname"), F.count("port").alias("open_port_count")]
-    aggs += [F.count_if(cond).alias(name) for name, cond in conditions.items()]
-    aggs += [
-        F.max("port_risk_score").alias("max_port_risk_score"),
-        F.avg("port_risk_score").alias("avg_port_risk_score"),
-        F.sum(F.coalesce(F.size("scripts"), F.lit(0))).alias("nse_script_count"),
-        F.bit_or("flag_bits").alias("flag_bits"),
-    ]
-    if top_ports:
-        aggs.append(P.risky_port_list(F.col("port_risk_score")).alias("top_risk_ports"))
-    grouped = measured.groupBy(*KEYS).agg(*aggs)
+    aggs = ["count(port) AS open_port_count",
+            "max(score) AS max_port_risk_score", "avg(score) AS avg_port_risk_score",
+            "sum(greatest(size(scripts), 0)) AS nse_script_count", "bit_or(flag_bits) AS flag_bits"]
+    aggs += [f"count_if({cond}) AS {name}" for name, cond in _conditions().items()]
+    grouped = port_measures(port_obs).groupBy(*KEYS, "hostname").agg(*[F.expr(a) for a in aggs])
     if hosts is not None:
         grouped = hosts.select(*KEYS, "hostname").join(grouped.drop("hostname"), KEYS, "left")
     return _finish(grouped)
 
 
 def _finish(grouped: DataFrame) -> DataFrame:
-    bits = F.coalesce(F.col("flag_bits"), F.lit(0).cast("bigint"))
-    flags = {flag: F.getbit(bits, F.lit(i)).cast("int") for i, (flag, _) in enumerate(V.HOST_FLAGS)}
-    selected = [F.col("scan_id"), F.col("ip"), F.col("hostname")]
-    if "top_risk_ports" in grouped.columns:
-        selected.append(P.or_none(F.col("top_risk_ports")).alias("top_risk_ports"))
-    for name in _columns():
+    flags = {flag: i for i, (flag, _) in enumerate(V.HOST_FLAGS)}
+    selected = ["scan_id", "ip", "hostname"]
+    for name in feature_columns():
         if name in flags:
-            column = flags[name]
+            selected.append(f"cast(getbit(coalesce(flag_bits, 0L), {flags[name]}) AS int) AS {name}")
         elif name == "avg_port_risk_score":
-            column = F.coalesce(F.col(name), F.lit(0.0))
+            selected.append(f"coalesce({name}, 0D) AS {name}")
         else:
-            column = F.coalesce(F.col(name), F.lit(0)).cast("int")
-        selected.append(column.alias(name))
-    return grouped.select(*selected)
+            selected.append(f"cast(coalesce({name}, 0) AS int) AS {name}")
+    return grouped.selectExpr(*selected)
 
 
 def record_features(hosts: DataFrame) -> DataFrame:
     """Features from nested host records, without a shuffle."""
-    ports = F.transform("open_ports", lambda p: F.struct(
-        *[p[name].alias(name) for name in ("port", "service", "product", "version", "tunnel")],
-        F.size(p["scripts"]).alias("script_count"),
-        P.service_bucket(p["service"]).alias("bucket"),
-        P.port_category(lambda name: p[name]).alias("category"),
-        P.port_risk_score(lambda name: p[name]).alias("score")))
-    measured = hosts.select("scan_id", "ip", "hostname", ports.alias("measured"))
-
-    def count(name):
-        def condition(p):
-            return F.coalesce(_conditions(
-                lambda field: p[field], p["bucket"], p["category"], p["score"])[name], F.lit(False))
-        return F.size(F.filter("measured", condition))
-
-    numbers = F.transform("measured", lambda p: p["port"])
-    scores = F.transform("measured", lambda p: p["score"])
-    total = F.aggregate(scores, F.lit(0), lambda a, s: a + s)
-    open_ports = F.size("measured")
+    facts = ", ".join(
+        f"{port}, named_struct('category', cast({quote(category)} AS string), 'score', cast({score if score else 'NULL'} AS int), "
+        f"'groups', {groups}L, 'flags', {flags}L)"
+        for port, _, category, _, score, _, _, groups, flags in P.port_facts())
+    known = (f"transform(open_ports, p -> named_struct('p', p, 'f', try_element_at(map({facts}), p.port)))")
+    measured = f"""transform(known, k -> named_struct('port', k.p.port, 'service', k.p.service,
+        'product', k.p.product, 'version', k.p.version, 'tunnel', k.p.tunnel,
+        'scripts', greatest(size(k.p.scripts), 0), 'group_bits', k.f.groups, 'flag_bits', coalesce(k.f.flags, 0L),
+        'bucket', {P.bucket_sql('k.p.')}, 'category', {P.category_sql('k.f.category', 'k.p.')},
+        'score', {P.risk_sql('k.f.score', 'k.p.')}))"""
     special = {
-        "open_port_count": open_ports,
-        "max_port_risk_score": F.coalesce(F.array_max(scores), F.lit(0)),
-        "avg_port_risk_score": F.when(open_ports > 0, total.cast("double") / open_ports).otherwise(0.0),
-        "nse_script_count": F.aggregate(
-            F.transform("measured", lambda p: F.greatest(p["script_count"], F.lit(0))),
-            F.lit(0), lambda a, n: a + n),
+        "open_port_count": "size(m)",
+        "max_port_risk_score": "coalesce(array_max(m.score), 0)",
+        "avg_port_risk_score": "CASE WHEN size(m) = 0 THEN 0D ELSE cast(aggregate(m.score, 0, (a, s) -> a + s) AS double) / size(m) END",
+        "nse_script_count": "aggregate(m.scripts, 0, (a, s) -> a + s)",
     }
-    for flag, members in V.HOST_FLAGS:
-        special[flag] = F.coalesce(F.arrays_overlap(numbers, F.array(*[F.lit(m) for m in members])),
-                                   F.lit(False)).cast("int")
-    return measured.select("scan_id", "ip", "hostname", *[
-        special.get(name, None).alias(name) if name in special else count(name).alias(name)
-        for name in _columns()])
+    for i, (flag, _) in enumerate(V.HOST_FLAGS):
+        special[flag] = f"cast(getbit(flag_bits, {i}) AS int)"
+    conditions = _conditions("p.")
+    selected = [f"{special.get(name) or f'size(filter(m, p -> {conditions[name]}))'} AS {name}"
+                for name in feature_columns()]
+    return (hosts.selectExpr(*KEYS, "hostname", f"{known} AS known")
+            .selectExpr(*KEYS, "hostname", f"{measured} AS m")
+            .selectExpr(*KEYS, "hostname", "m", "aggregate(m.flag_bits, 0L, (a, b) -> a | b) AS flag_bits")
+            .selectExpr(*KEYS, "hostname", *selected))
 
 
 def port_mix(port_obs: DataFrame) -> DataFrame:
     """Per host, ports per profile category and per service bucket, as long rows."""
-    measured = port_measures(port_obs)
-    kinds = F.explode(F.array(
-        F.struct(F.lit("category").alias("kind"), F.col("port_category").alias("name")),
-        F.struct(F.lit("bucket").alias("kind"), F.col("service_bucket").alias("name"))))
-    return (measured.select(*KEYS, kinds.alias("k"))
+    kinds = ("explode(array(named_struct('kind', 'category', 'name', category), "
+             "named_struct('kind', 'bucket', 'name', bucket))) AS k")
+    return (port_measures(port_obs).selectExpr(*KEYS, kinds)
             .groupBy(*KEYS, "k.kind", "k.name").agg(F.count("*").alias("port_count")))
 
 
 def zero_fill(features: DataFrame, wanted: list) -> DataFrame:
     """Add the wanted columns that are absent, as zero."""
     present = set(features.columns)
-    return features.withColumns({name: F.lit(0) for name in wanted if name not in present})
+    return features.selectExpr("*", *[f"0 AS {name}" for name in wanted if name not in present])

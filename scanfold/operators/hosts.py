@@ -24,10 +24,9 @@ READABLE_COLUMNS = [
 
 def add_labels(features: DataFrame) -> DataFrame:
     """Add ``heuristic_score``, ``label`` and ``label_confidence``."""
-    scored = features.withColumn("heuristic_score", H.heuristic_score())
-    return scored.withColumns({
-        "label": H.heuristic_label(F.col("heuristic_score")),
-        "label_confidence": H.label_confidence(F.col("heuristic_score"))})
+    return features.withColumn("heuristic_score", H.heuristic_score()).withColumns({
+        "label": H.heuristic_label("heuristic_score"),
+        "label_confidence": H.label_confidence("heuristic_score")})
 
 
 def explode_alerts(features: DataFrame) -> DataFrame:
@@ -79,20 +78,23 @@ def build_predictions(features: DataFrame, scores: DataFrame, top_ports: DataFra
 
 def complete_predictions(scored: DataFrame) -> DataFrame:
     """Add asset, alerts, risk, severity, triage and advice to scored feature rows."""
-    probability = F.col("predicted_probability_suspicious")
+    p = "predicted_probability_suspicious"
     rows = scored.withColumns({"asset_type": H.asset_type(), "alert_list": H.host_alerts(),
                                "baseline_score": H.baseline_change_score()})
     rows = rows.withColumns({
-        "risk_score": H.composite_risk(
-            probability, H.max_alert_score(F.col("alert_list")), F.col("anomaly_score"),
-            F.col("baseline_score"), H.asset_criticality(F.col("asset_type"))),
-        "severity": H.severity(probability),
+        "alert_score": H.max_alert_score("alert_list"),
+        "asset_score": H.asset_criticality("asset_type")})
+    rows = rows.withColumns({
+        "risk_score": F.expr(H.composite_risk_sql(
+            p, "alert_score", "anomaly_score", "baseline_score", "asset_score")),
+        "severity": H.severity(p),
         "top_risk_ports": F.coalesce("top_risk_ports", F.lit("None")),
         "recommendations": F.array_join(H.recommendations(), " ; "),
-        "alerts": H.alerts_summary(F.col("alert_list")),
-        "triage_status": H.triage_status(F.col("prediction"), probability, F.col("alert_list")),
+        "alerts": H.alerts_summary("alert_list"),
+        "triage_status": F.expr(H.triage_status_sql("prediction", p, "alert_list")),
     })
-    return rows.drop("alert_list", "baseline_score", *[name for name, _ in R.CHANGE_SCORES])
+    return rows.drop("alert_list", "alert_score", "asset_score", "baseline_score",
+                     *[name for name, _ in R.CHANGE_SCORES])
 
 
 def export_predictions(predictions: DataFrame) -> DataFrame:
@@ -186,7 +188,7 @@ def top_risks_per_scan(predictions: DataFrame, limit: int = 3) -> DataFrame:
 
 def risk_ranking(predictions: DataFrame) -> DataFrame:
     return predictions.select(
-        *KEYS, H.host_name_label(F.col("ip"), F.col("hostname")).alias("host_label"), "risk_score",
+        *KEYS, H.host_name_label().alias("host_label"), "risk_score",
         "severity").orderBy(F.desc("risk_score"), "scan_id", "ip")
 
 
@@ -196,7 +198,7 @@ def anomaly_ranking(predictions: DataFrame) -> DataFrame:
     # The gate is one row.
     rows = predictions.withColumn("_one", F.lit(1)).join(
         F.broadcast(gate.withColumn("_one", F.lit(1))), "_one").filter("_show")
-    return rows.select(*KEYS, H.host_name_label(F.col("ip"), F.col("hostname")).alias("host_label"),
+    return rows.select(*KEYS, H.host_name_label().alias("host_label"),
                        "anomaly_score", "prediction").orderBy(F.desc("anomaly_score"), "scan_id", "ip")
 
 

@@ -6,19 +6,16 @@ from pyspark.sql import functions as F
 from scanfold.operators.shuffle import earliest, latest
 
 
-def signature(ip: Column, hostname: Column, open_ports: Column) -> Column:
+def signature(open_ports: str = "open_ports") -> Column:
     """SHA-256 over ip, hostname and the sorted port entries."""
-    def text(p):
-        return F.concat_ws("/", p["protocol"], F.lpad(p["port"].cast("string"), 5, "0"),
-                           F.coalesce(p["service"], F.lit("")), F.coalesce(p["product"], F.lit("")),
-                           F.coalesce(p["version"], F.lit("")))
-    ports = F.array_join(F.array_sort(F.transform(open_ports, text)), ",")
-    return F.sha2(F.concat_ws("|", ip, F.coalesce(hostname, F.lit("")), ports), 256)
+    entry = ("concat_ws('/', p.protocol, lpad(cast(p.port AS string), 5, '0'), coalesce(p.service, ''), "
+             "coalesce(p.product, ''), coalesce(p.version, ''))")
+    ports = f"array_join(array_sort(transform({open_ports}, p -> {entry})), ',')"
+    return F.expr(f"sha2(concat_ws('|', ip, coalesce(hostname, ''), {ports}), 256)")
 
 
 def with_signature(records: DataFrame) -> DataFrame:
-    return records.withColumn("signature", signature(
-        F.col("ip"), F.col("hostname"), F.col("open_ports")))
+    return records.withColumn("signature", signature())
 
 
 def dedupe_records(records: DataFrame, order: str) -> DataFrame:

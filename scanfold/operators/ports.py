@@ -1,14 +1,13 @@
 """Port level operators over ``port_obs``."""
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanfold.functions import port_rules as P
+from scanfold.functions.sql_text import quote
+from scanfold.operators.features import KEYS, port_dimension
 from scanfold.values import ports as V
 
-KEYS = ["scan_id", "ip"]
-
 DETAIL_COLUMNS = [
     "ip", "hostname", "protocol", "port", "service", "service_source", "service_guess",
     "device_guess", "guess_confidence", "guess_evidence", "product", "version", "extrainfo",
@@ -17,15 +16,6 @@ DETAIL_COLUMNS = [
 ]
 
 
-def port_dimension(spark: SparkSession) -> DataFrame:
-    """The profiled ports; one row each, so its size is fixed."""
-    names = ["port", "profile_name", "profile_category", "profile_risk", "profile_description",
-             "profile_recommendation"]
-    columns = dict(zip(names, map(list, zip(*V.PORT_PROFILES))))
-    columns["port"] = pa.array(columns["port"], pa.int32())
-    return spark.createDataFrame(pa.table(columns))
-
-
 def explode_ports(hosts: DataFrame) -> DataFrame:
     """Nested host records to the flat ``port_obs`` table."""
     return (hosts.select("scan_id", "ip", "hostname", F.posexplode("open_ports").alias("pos", "p"))
@@ -47,45 +37,36 @@ def nest_ports(port_obs: DataFrame, extra: list | None = None) -> DataFrame:
 
 def join_port_profile(port_obs: DataFrame) -> DataFrame:
     """Add profile name, category, risk level and score, description and advice."""
-    dim = F.broadcast(port_dimension(port_obs.sparkSession))
-    joined = port_obs.join(dim, "port", "left")
-    service = P.lower_service()
-    scores = F.when(F.col("profile_risk") == "critical", V.RISK_SCORES["critical"])
-    for level in ("high", "medium", "low"):
-        scores = scores.when(F.col("profile_risk") == level, V.RISK_SCORES[level])
-    joined = joined.withColumn(
-        "risk_score", P.raised_risk(scores.otherwise(V.RISK_SCORES[V.UNPROFILED_RISK])))
-    return joined.withColumns({
-        "name": F.coalesce("profile_name", F.nullif(service, F.lit("")), F.lit("unknown")),
-        "category": F.coalesce("profile_category", P.token_category(service),
-                               F.lit(V.UNPROFILED_CATEGORY)),
-        "risk_level": P.risk_level(F.col("risk_score")),
-        "description": F.coalesce("profile_description", F.lit(V.UNPROFILED_DESCRIPTION)),
-        "recommendation": F.coalesce("profile_recommendation", F.lit(V.UNPROFILED_RECOMMENDATION)),
-    }).drop("profile_name", "profile_category", "profile_risk", "profile_description",
-            "profile_recommendation").select(
-        *[c for c in port_obs.columns], "name", "category", "risk_level", "risk_score",
-        "description", "recommendation")
+    dim = F.broadcast(port_dimension(port_obs.sparkSession).drop("group_bits", "flag_bits"))
+    scored = port_obs.join(dim, "port", "left").selectExpr(
+        *port_obs.columns, "profile_name", "profile_category", "profile_description",
+        "profile_recommendation", f"{P.risk_sql('profile_score')} AS risk_score")
+    return scored.selectExpr(
+        *port_obs.columns,
+        f"coalesce(profile_name, nullif({P.service_sql()}, ''), 'unknown') AS name",
+        f"{P.category_sql('profile_category')} AS category",
+        f"{P.level_sql('risk_score')} AS risk_level", "risk_score",
+        f"coalesce(profile_description, {quote(V.UNPROFILED_DESCRIPTION)}) AS description",
+        f"coalesce(profile_recommendation, {quote(V.UNPROFILED_RECOMMENDATION)}) AS recommendation")
 
 
 def enrich_ports(port_obs: DataFrame) -> DataFrame:
     """Profile columns plus the script summary."""
-    return join_port_profile(port_obs).withColumn("script_summary", P.script_summary(F.col("scripts")))
+    return join_port_profile(port_obs).withColumn("script_summary", P.script_summary())
 
 
 def port_details(port_obs: DataFrame) -> DataFrame:
     """The detail table, one row per host and port; sort on write or display."""
-    enriched = enrich_ports(port_obs)
-    service = F.when(P.is_blank(F.col("service")), F.col("name")).otherwise(F.col("service"))
-    source = F.coalesce(F.col("service_source"), F.when(
-        F.lower(service).isin("", "unknown"), "guess").otherwise("nmap"))
+    enriched = enrich_ports(port_obs).withColumn("service", F.expr(
+        "CASE WHEN coalesce(service, '') = '' THEN name ELSE service END"))
+    source = ("coalesce(service_source, CASE WHEN lower(service) IN ('', 'unknown') THEN 'guess' "
+              "ELSE 'nmap' END) AS service_source")
     present = set(port_obs.columns)
-    absent = {c: F.lit(None).cast("double") if c == "guess_confidence" else F.lit("")
+    absent = {c: f"cast(NULL AS double) AS {c}" if c == "guess_confidence" else f"'' AS {c}"
               for c in ("service_guess", "device_guess", "guess_confidence", "guess_evidence")
               if c not in present}
-    return (enriched.withColumns(absent)
-            .withColumns({"service_source": source, "service": service})
-            .select("scan_id", *DETAIL_COLUMNS))
+    return enriched.selectExpr("scan_id", *[
+        source if c == "service_source" else absent.get(c, c) for c in DETAIL_COLUMNS])
 
 
 def top_risk_ports(port_obs: DataFrame) -> DataFrame:
@@ -93,18 +74,25 @@ def top_risk_ports(port_obs: DataFrame) -> DataFrame:
 
     Only risky ports are collected; the table key bounds them per host.
     """
-    return port_obs.groupBy(*KEYS).agg(
-        P.or_none(P.risky_port_list(P.port_risk_score())).alias("top_risk_ports"))
+    return (port_obs.withColumn("score", P.port_risk_score()).groupBy(*KEYS)
+            .agg(P.risky_port_list("score").alias("t"))
+            .select(*KEYS, P.or_none("t").alias("top_risk_ports")))
+
+
+def risky_hosts(port_obs: DataFrame) -> DataFrame:
+    """``top_risk_ports`` of the hosts that have any; other ports never reach the shuffle."""
+    risky = port_obs.withColumn("score", P.port_risk_score()).filter(
+        F.col("score") >= V.RISK_SCORES["high"])
+    return risky.groupBy(*KEYS).agg(P.risky_port_list("score").alias("top_risk_ports"))
 
 
-def record_top_risk_ports(open_ports: Column) -> Column:
+def record_top_risk_ports(open_ports: str = "open_ports") -> Column:
     """``top_risk_ports`` of a nested record, without a shuffle."""
-    def score(p):
-        return P.port_risk_score(lambda name: p[name])
-    risky = F.filter(open_ports, lambda p: score(p) >= V.RISK_SCORES["high"])
-    text = F.array_join(F.transform(risky, lambda p: F.concat(
-        p["port"].cast("string"), F.lit("/"), P.risk_level(score(p)))), ";")
-    return P.or_none(text)
+    score = P.risk_sql(P.lookup_sql(4, "p.port", str), "p.")
+    entries = (f"filter(transform({open_ports}, p -> named_struct('port', p.port, 's', {score})), "
+               f"e -> e.s >= {V.RISK_SCORES['high']})")
+    text = f"array_join(transform({entries}, e -> concat(cast(e.port AS string), '/', {P.level_sql('e.s')})), ';')"
+    return F.expr(f"coalesce(nullif({text}, ''), 'None')")
 
 
 def distinct_ports(port_obs: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from scanfold.operators import patterns as PA
 from scanfold.operators import policy as PY
 from scanfold.operators import training as TR
 from scanfold.operators.features import KEYS, host_features, record_features
-from scanfold.operators.ports import explode_ports, nest_ports
+from scanfold.operators.ports import explode_ports, nest_ports, record_top_risk_ports, risky_hosts
 from scanfold.plans import reports
 from scanfold.sinks import tables as SK
 
@@ -108,9 +108,8 @@ def scan_diff(ports: DataFrame, out: str) -> DataFrame:
 def predict_stage(ports: DataFrame, hosts: DataFrame, bundle: models.ModelBundle, policy: Policy,
                   diff: DataFrame, out: str) -> DataFrame:
     """Scores, risk, override, export, patterns and report."""
-    features = host_features(ports, hosts, top_ports=True)
-    scored = models.predict_scores(features, bundle)
-    joined = scored.join(B.change_flags(diff), KEYS, "left")
+    scored = models.predict_scores(host_features(ports, hosts), bundle)
+    joined = scored.join(risky_hosts(ports), KEYS, "left").join(B.change_flags(diff), KEYS, "left")
     predictions = HO.complete_predictions(joined)
     if policy.trusted is not None:
         predictions = PY.override_trusted(predictions, policy.trusted)
@@ -195,8 +194,8 @@ def fixture_train_job(records: DataFrame, out: str, run_at) -> DataFrame | None:
     bundle, _ = train_job(training, out)
     if bundle is None:
         return None
-    ports = explode_ports(records)
-    scored = models.predict_scores(host_features(ports, top_ports=True), bundle)
+    tops = records.select(*KEYS, record_top_risk_ports().alias("top_risk_ports"))
+    scored = models.predict_scores(features, bundle).join(tops, KEYS)
     flags = {"is_new_host": F.lit(False), "has_opened_port": F.lit(False),
              "has_version_change": F.lit(False)}
     predictions = HO.complete_predictions(scored.withColumns(flags))

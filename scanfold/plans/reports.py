@@ -30,7 +30,7 @@ def scan_report_rows(port_obs: DataFrame) -> DataFrame:
     """Lines of the scan report per host and port."""
     rows = enrich_ports(port_obs)
     service = F.when(_text("service") != "", F.col("service")).otherwise(F.col("name"))
-    extra = P.product_version(F.col("product"), F.col("version"))
+    extra = F.expr(P.product_version_sql())
     head = F.concat(F.col("protocol"), F.lit("/"), F.col("port").cast("string"), F.lit("  "), service)
     return _lines(rows, PORT_ORDER, [
         F.when(extra != "", F.concat(head, F.lit("  "), extra)).otherwise(head),
@@ -153,17 +153,17 @@ def pattern_report(patterns: DataFrame, affected: DataFrame) -> DataFrame:
 
 def suspicious_detail(predictions: DataFrame) -> DataFrame:
     """Detail lines of each suspicious host: identity, scores, reasons, alerts, advice."""
-    rows = predictions.filter(F.col("prediction") == "suspicious")
     p = F.col("predicted_probability_suspicious")
-    explained = F.transform(H.host_explanation(), lambda t: F.concat(F.lit("  "), t))
-    alerts = F.flatten(F.transform(H.host_alerts(), lambda a: F.array(
-        F.concat(F.lit("  ["), a["severity"], F.lit("] "), a["title"]),
-        F.concat(F.lit("    "), a["message"]))))
-    advice = F.transform(H.recommendations(), lambda t: F.concat(F.lit("- "), t))
+    rows = H.with_explanation(predictions.filter(F.col("prediction") == "suspicious")).withColumns(
+        {"alert_list": H.host_alerts(), "advice": H.recommendations()})
+    explained = F.expr("transform(explanation, t -> concat('  ', t))")
+    alerts = F.expr("flatten(transform(alert_list, a -> array("
+                    "concat('  [', a.severity, '] ', a.title), concat('    ', a.message))))")
+    advice = F.expr("transform(advice, t -> concat('- ', t))")
     head = F.array(
         F.concat(F.lit("IP: "), F.col("ip")), F.concat(F.lit("Hostname  : "), F.col("hostname")),
         F.concat(F.lit("Asset Type: "), F.col("asset_type")),
-        F.concat(F.lit("Severity  : "), H.severity(p)),
+        F.concat(F.lit("Severity  : "), H.severity("predicted_probability_suspicious")),
         F.concat(F.lit("Triage    : "), F.col("triage_status")),
         F.concat(F.lit("Risk Score: "), F.col("risk_score").cast("string"), F.lit("/100")),
         F.concat(F.lit("Confidence: "), F.format_string("%.3f", p)),
@@ -196,8 +196,8 @@ def summary_lines(summary: DataFrame) -> DataFrame:
     """Head lines of the report per scan, from ``report_summary``."""
     packed = F.array(
         F.lit("================ NETWORK SECURITY ANALYSIS ================"),
-        H.fill("Total Hosts Scanned: {total}"), H.fill("Normal Hosts: {normal}"),
-        H.fill("Suspicious Hosts: {suspicious}"), H.fill("Critical: {critical}  |  High: {high}"))
+        H.filled("Total Hosts Scanned: {total}"), H.filled("Normal Hosts: {normal}"),
+        H.filled("Suspicious Hosts: {suspicious}"), H.filled("Critical: {critical}  |  High: {high}"))
     return summary.select("scan_id", F.posexplode(packed).alias("line_no", "line"))
 
 
@@ -229,7 +229,7 @@ def prediction_report(predictions: DataFrame, diff: DataFrame | None = None) ->
         parts.append(part(3, rows.withColumnRenamed("section", "kind"), "kind", "ip", "item"))
     patterns = PA.network_patterns(predictions)
     pattern_lines = pattern_report(patterns, PA.affected_hosts(predictions)).withColumn(
-        "pattern", PA.pattern_order(F.col("pattern_id")))
+        "pattern", PA.pattern_order())
     parts.append(part(4, pattern_lines, "pattern", "part", "ip"))
     parts.append(part(5, host_table_line(predictions), "ip"))
     details = suspicious_detail(predictions).withColumn(

@@ -7,6 +7,8 @@ a line item for one open port of the host in that scan. No row is left out.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scanfold.functions.sql_text import numbers, strings
+
 # Port catalog: the profiled ports, then ports without a profile.
 CATALOG_PORTS = [
     20, 21, 22, 23, 25, 53, 69, 80, 110, 111, 135, 137, 138, 139, 143, 161, 389, 443, 445, 465,
@@ -32,8 +34,9 @@ HOST_VENDORS = ["", "", "", "", "Machine Works", "", "CamStream"]
 HOST_SYSTEMS = ["Linux 5.4", "macOS 13", "", "", "Windows 10", "", ""]
 
 
-def _pick(values, index):
-    return F.element_at(F.array(*[F.lit(v) for v in values]), index.cast("int"))
+def _pick(values, index: str) -> str:
+    items = numbers(values) if isinstance(values[0], int) else strings(values)
+    return f"element_at(array({items}), cast({index} AS int))"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,81 +45,63 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _line_ports(lineitem: DataFrame) -> DataFrame:
     """One row per line item with its scan, host, protocol and port."""
-    line, part = F.col("l_linenumber"), F.col("l_partkey")
-    everyday = _pick(EVERYDAY, part % len(EVERYDAY) + 1)
-    catalog = (part + line * 7) % len(CATALOG_PORTS)
-    return lineitem.select(
-        F.concat(F.lit("scan-"), F.year("l_shipdate").cast("string"), F.lit("Q"),
-                 F.quarter("l_shipdate").cast("string")).alias("scan_id"),
-        F.col("l_suppkey").alias("supp"), line.alias("line"),
-        F.when(line <= 3, catalog).otherwise(everyday).cast("int").alias("idx"),
-        F.when(F.col("l_tax") == 0, "udp").otherwise("tcp").alias("protocol"),
+    return lineitem.selectExpr(
+        "concat('scan-', year(l_shipdate), 'Q', quarter(l_shipdate)) AS scan_id",
+        "l_suppkey AS supp", "l_linenumber AS line",
+        f"""cast(CASE WHEN l_linenumber <= 3 THEN (l_partkey + l_linenumber * 7) % {len(CATALOG_PORTS)}
+            ELSE {_pick(EVERYDAY, f'l_partkey % {len(EVERYDAY)} + 1')} END AS int) AS idx""",
+        "CASE WHEN l_tax = 0 THEN 'udp' ELSE 'tcp' END AS protocol",
         "l_returnflag", "l_quantity", "l_discount")
 
 
-def _ip():
-    supp = F.col("supp")
-    def octet(bits):
-        return F.shiftright(supp, bits).bitwiseAND(255).cast("string")
-    return F.concat_ws(".", (F.col("line") + 10 + F.shiftright(supp, 24) * 8).cast("string"),
-                       octet(16), octet(8), octet(0))
-
-
-def _hostname():
-    prefix = _pick(HOST_NAMES, F.col("line"))
-    return F.when(prefix == "", "").otherwise(
-        F.concat(prefix, F.lit("-"), F.col("supp").cast("string")))
+IP = """concat_ws('.', cast(line + 10 + shiftright(supp, 24) * 8 AS string),
+    cast(shiftright(supp, 16) & 255 AS string), cast(shiftright(supp, 8) & 255 AS string),
+    cast(supp & 255 AS string)) AS ip"""
+HOSTNAME = f"""CASE WHEN {_pick(HOST_NAMES, 'line')} = '' THEN ''
+    ELSE concat({_pick(HOST_NAMES, 'line')}, '-', cast(supp AS string)) END AS hostname"""
 
 
 def port_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flat port table, key (scan_id, ip, protocol, port)."""
     rows = _line_ports(table(spark, sf_dir, "lineitem"))
     grouped = rows.groupBy("scan_id", "supp", "line", "protocol", "idx").agg(
-        F.min("l_returnflag").alias("low_flag"),
-        F.min("l_quantity").cast("int").cast("string").alias("low_qty"),
-        F.max("l_quantity").cast("int").alias("top_qty"),
-        F.min("l_discount").alias("low_discount"))
-    service = _pick(CATALOG_SERVICES, F.col("idx") + 1)
-    named = grouped.select(
-        "*", _pick(CATALOG_PORTS, F.col("idx") + 1).alias("port"), service.alias("service"))
-    named = named.withColumn("product", F.when(
-        F.trim(F.lower("service")).isin("", "unknown"), "").otherwise(F.col("service")))
-    scripts = F.array(
-        F.struct(F.lit("banner").alias("id"),
-                 F.concat(F.lit(" low \t quantity\n"), F.col("low_qty"), F.lit("  ")).alias("output")),
-        F.struct(F.lit("title").alias("id"), F.lit("").alias("output")),
-        F.struct(F.lit("notes").alias("id"),
-                 F.concat(F.repeat(F.lit("line of notes, "), F.col("top_qty")),
-                          F.col("service")).alias("output")),
-        F.struct(F.lit("extra").alias("id"), F.lit("Left Out").alias("output")))
-    count = F.when(F.col("top_qty") > 45, 4).when(F.col("top_qty") > 35, 3).when(
-        F.col("top_qty") > 20, 1).otherwise(0)
-    return named.select(
-        "scan_id", _ip().alias("ip"), _hostname().alias("hostname"),
-        (F.col("idx") * 2 + F.when(F.col("protocol") == "udp", 1).otherwise(0)).alias("pos"),
-        "protocol", "port", "service", F.lit("nmap").alias("service_source"), "product",
-        F.when(F.col("low_discount") == 0, "").otherwise(
-            F.concat(F.lit("v"), F.col("low_flag"))).alias("version"),
-        F.when(F.col("low_flag") == "R", "flag R").otherwise("").alias("extrainfo"),
-        F.when(F.col("product") == "", "").otherwise("probed").alias("service_method"),
-        F.when(F.col("product") == "", "").otherwise("10").alias("service_confidence"),
-        F.lit("").alias("service_ostype"),
-        F.when(F.col("port").isin(SSL_PORTS), "ssl").otherwise("").alias("tunnel"),
-        F.when(F.col("protocol") == "udp", "udp-response").otherwise("syn-ack").alias("state_reason"),
-        F.slice(scripts, F.lit(1), count).alias("scripts"))
+        F.expr("chr(min(ascii(l_returnflag)))").alias("low_flag"), F.min("l_quantity").alias("low_qty"),
+        F.max("l_quantity").alias("top_qty"), F.min("l_discount").alias("low_discount"))
+    named = grouped.selectExpr(
+        "*", f"{_pick(CATALOG_PORTS, 'idx + 1')} AS port", f"{_pick(CATALOG_SERVICES, 'idx + 1')} AS service")
+    named = named.withColumn("product", F.expr(
+        "CASE WHEN trim(lower(service)) IN ('', 'unknown') THEN '' ELSE service END"))
+    return named.selectExpr(
+        "scan_id", IP, HOSTNAME, "idx * 2 + CASE WHEN protocol = 'udp' THEN 1 ELSE 0 END AS pos",
+        "protocol", "port", "service", "'nmap' AS service_source", "product",
+        "CASE WHEN low_discount = 0 THEN '' ELSE concat('v', low_flag) END AS version",
+        "CASE WHEN low_flag = 'R' THEN 'flag R' ELSE '' END AS extrainfo",
+        "CASE WHEN product = '' THEN '' ELSE 'probed' END AS service_method",
+        "CASE WHEN product = '' THEN '' ELSE '10' END AS service_confidence",
+        "'' AS service_ostype",
+        f"CASE WHEN port IN ({numbers(SSL_PORTS)}) THEN 'ssl' ELSE '' END AS tunnel",
+        "CASE WHEN protocol = 'udp' THEN 'udp-response' ELSE 'syn-ack' END AS state_reason",
+        """slice(array(
+            named_struct('id', 'banner', 'output',
+                concat(' low \\t quantity\\n', cast(cast(low_qty AS int) AS string), '  ')),
+            named_struct('id', 'title', 'output', ''),
+            named_struct('id', 'notes', 'output',
+                concat(repeat('line of notes, ', cast(top_qty AS int)), service)),
+            named_struct('id', 'extra', 'output', 'Left Out')),
+            1, CASE WHEN top_qty > 45 THEN 4 WHEN top_qty > 35 THEN 3 WHEN top_qty > 20 THEN 1 ELSE 0 END
+            ) AS scripts""")
 
 
 def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per scanned host, without its ports."""
     rows = _line_ports(table(spark, sf_dir, "lineitem")).select("scan_id", "supp", "line").distinct()
-    vendor, system = _pick(HOST_VENDORS, F.col("line")), _pick(HOST_SYSTEMS, F.col("line"))
-    match = F.array(F.struct(system.alias("name"), F.lit("96").alias("accuracy")))
-    return rows.select(
-        "scan_id", _ip().alias("ip"), _hostname().alias("hostname"),
-        F.when(vendor == "", "").otherwise(
-            F.concat(F.lit("mac-"), F.col("supp").cast("string"))).alias("mac"),
-        vendor.alias("vendor"),
-        F.when(system == "", F.slice(match, F.lit(1), F.lit(0))).otherwise(match).alias("os_matches"))
+    vendor, system = _pick(HOST_VENDORS, "line"), _pick(HOST_SYSTEMS, "line")
+    return rows.selectExpr(
+        "scan_id", IP, HOSTNAME,
+        f"CASE WHEN {vendor} = '' THEN '' ELSE concat('mac-', cast(supp AS string)) END AS mac",
+        f"{vendor} AS vendor",
+        f"""slice(array(named_struct('name', {system}, 'accuracy', '96')), 1,
+            CASE WHEN {system} = '' THEN 0 ELSE 1 END) AS os_matches""")
 
 
 def scan_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,39 +118,32 @@ def host_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def second_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A second look at the unknown ports of half of the host kinds."""
-    from scanfold.functions import port_rules as P
-    found = F.when(F.col("low") == "", F.lit("unknown")).otherwise(
-        F.concat(F.lit("resolved-"), F.col("port").cast("string")))
-    base = port_obs(spark, sf_dir).filter(P.is_unknown_service()).withColumn(
-        "low", F.when(F.col("version") == "vN", "").otherwise(F.col("version")))
-    return base.withColumns({
-        "service": found, "product": F.lit("second look"), "service_method": F.lit("probed"),
-        "service_confidence": F.lit("7")}).drop("low")
+    """A second look at the unknown ports; it names those that show an old version."""
+    from scanfold.functions.port_rules import is_unknown_service
+    return port_obs(spark, sf_dir).filter(is_unknown_service()).withColumns({
+        "service": F.expr("CASE WHEN version IN ('', 'vN') THEN 'unknown' "
+                          "ELSE concat('resolved-', cast(port AS string)) END"),
+        "product": F.lit("second look"), "service_method": F.lit("probed"),
+        "service_confidence": F.lit("7")})
 
 
 def trusted_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hosts of suppliers in debt, as the trusted list."""
-    rows = table(spark, sf_dir, "supplier").filter("s_acctbal < 0").select(
-        F.col("s_suppkey").alias("supp"), F.explode(F.sequence(F.lit(1), F.lit(7))).alias("line"))
-    return rows.select(_ip().alias("ip")).distinct()
+    return table(spark, sf_dir, "supplier").filter("s_acctbal < 0").selectExpr(
+        "s_suppkey AS supp", "explode(sequence(1, 7)) AS line").selectExpr(IP).distinct()
 
 
 def ignore_ports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ports at the catalog places of the nations of region 0."""
-    rows = table(spark, sf_dir, "nation").filter("n_regionkey = 0")
-    return rows.select(_pick(CATALOG_PORTS, F.col("n_nationkey") + 1).cast("int").alias("port")).distinct()
+    return table(spark, sf_dir, "nation").filter("n_regionkey = 0").selectExpr(
+        f"{_pick(CATALOG_PORTS, 'n_nationkey + 1')} AS port").distinct()
 
 
 def event_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host sightings from the events table: one row per event."""
-    k = F.get_json_object("props", "$.k").cast("int")
-    user = F.col("user_id")
-    return table(spark, sf_dir, "events").select(
-        "event_id", F.col("ts").cast("timestamp").alias("seen_at"),
-        F.concat(F.lit("10.0."), F.shiftright(user, 8).cast("string"), F.lit("."),
-                 user.bitwiseAND(255).cast("string")).alias("ip"),
-        F.concat(F.lit("user-"), user.cast("string")).alias("hostname"),
-        F.col("event_type").alias("source"),
-        _pick(CATALOG_PORTS, k % len(CATALOG_PORTS) + 1).alias("port"),
-        _pick(CATALOG_SERVICES, k % len(CATALOG_PORTS) + 1).alias("service"))
+    place = f"cast(get_json_object(props, '$.k') AS int) % {len(CATALOG_PORTS)} + 1"
+    return table(spark, sf_dir, "events").selectExpr(
+        "event_id", "cast(ts AS timestamp) AS seen_at",
+        "concat('10.0.', cast(shiftright(user_id, 8) AS string), '.', cast(user_id & 255 AS string)) AS ip",
+        "concat('user-', cast(user_id AS string)) AS hostname", "event_type AS source",
+        f"{_pick(CATALOG_PORTS, place)} AS port", f"{_pick(CATALOG_SERVICES, place)} AS service")

@@ -29,9 +29,9 @@ SELECT l.scan_id, l.ip, l.hostname, l.heuristic_score, l.label, {ASSET} AS asset
   coalesce(s.summary, 'No alerts') AS alerts
 FROM labelled l LEFT JOIN alert_sums s USING (scan_id, ip)"""))
 def host_overview(spark, d):
-    rows = labelled(spark, d)
+    rows = labelled(spark, d).withColumn("alert_list", H.host_alerts())
     return rows.select(*KEYS, "hostname", "heuristic_score", "label", H.asset_type().alias("asset_type"),
-                       H.alerts_summary(H.host_alerts()).alias("alerts"))
+                       H.alerts_summary("alert_list").alias("alerts"))
 
 
 FEATURE_SELECT = "SELECT scan_id, ip, hostname, " + ", ".join(FEATURE_NAMES) + " FROM features"
@@ -85,12 +85,12 @@ def heuristic_score(spark, d):
 
 @query("heuristic_label", with_views("labelled", "SELECT scan_id, ip, label FROM labelled"))
 def heuristic_label(spark, d):
-    return features(spark, d).select(*KEYS, H.heuristic_label(H.heuristic_score()).alias("label"))
+    return labelled(spark, d).select(*KEYS, "label")
 
 
 @query("label_confidence", with_views("labelled", "SELECT scan_id, ip, label_confidence FROM labelled"))
 def label_confidence(spark, d):
-    return features(spark, d).select(*KEYS, H.label_confidence(H.heuristic_score()).alias("label_confidence"))
+    return labelled(spark, d).select(*KEYS, "label_confidence")
 
 
 @query("asset_type", with_views("features", f"SELECT scan_id, ip, {ASSET} AS asset_type FROM features"))
@@ -104,7 +104,8 @@ CRITICALITY = "SELECT scan_id, ip, CAST(CASE asset_type " + " ".join(
 
 @query("asset_criticality", with_views("features", CRITICALITY + f"{ASSET} AS asset_type FROM features)"))
 def asset_criticality(spark, d):
-    return features(spark, d).select(*KEYS, H.asset_criticality(H.asset_type()).alias("criticality"))
+    return features(spark, d).withColumn("asset", H.asset_type()).select(
+        *KEYS, H.asset_criticality("asset").alias("criticality"))
 
 
 @query("host_alerts", with_views("labelled alerts", """
@@ -117,13 +118,13 @@ def host_alerts(spark, d):
 @query("alerts_summary", with_views("labelled alerts", """
 SELECT l.scan_id, l.ip, coalesce(s.summary, 'No alerts') AS alerts FROM labelled l LEFT JOIN alert_sums s USING (scan_id, ip)"""))
 def alerts_summary(spark, d):
-    return features(spark, d).select(*KEYS, H.alerts_summary(H.host_alerts()).alias("alerts"))
+    return features(spark, d).withColumn("alert_list", H.host_alerts()).select(*KEYS, H.alerts_summary("alert_list").alias("alerts"))
 
 
 @query("max_alert_severity", with_views("labelled alerts", """
 SELECT l.scan_id, l.ip, CAST(coalesce(s.top, 0) AS DOUBLE) AS alert_score FROM labelled l LEFT JOIN alert_sums s USING (scan_id, ip)"""))
 def max_alert_severity(spark, d):
-    return features(spark, d).select(*KEYS, H.max_alert_score(H.host_alerts()).alias("alert_score"))
+    return features(spark, d).withColumn("alert_list", H.host_alerts()).select(*KEYS, H.max_alert_score("alert_list").alias("alert_score"))
 
 
 RECOMMENDED = listed([(quote(t), c) for t, c in R.RECOMMENDATIONS])
@@ -187,7 +188,8 @@ def flag_reason_sql():
 @query("flag_reason", with_views("features", f"""
 SELECT scan_id, ip, {flag_reason_sql()} AS flag_reason FROM (SELECT *, {ALL_PORTS} AS ps FROM features)"""))
 def flag_reason(spark, d):
-    return features(spark, d).select(*KEYS, H.flag_reason(H.detected_ports()).alias("flag_reason"))
+    return features(spark, d).withColumn("found", H.detected_ports()).select(
+        *KEYS, H.flag_reason("found").alias("flag_reason"))
 
 
 def text_list(rules):
@@ -267,7 +269,8 @@ explained AS (SELECT f.*, flatten([[{flag_reason_sql()}],
 SELECT scan_id, ip, CAST(i - 1 AS INT) AS line_no, explanation[i] AS line
 FROM (SELECT *, unnest(range(1, len(explanation) + 1)) AS i FROM explained)""", EXPLAINED))
 def host_explanation(spark, d):
-    return features(spark, d).select(*KEYS, F.posexplode(H.host_explanation()).alias("line_no", "line"))
+    return H.with_explanation(features(spark, d)).select(
+        *KEYS, F.posexplode("explanation").alias("line_no", "line"))
 
 
 LABEL = "CASE WHEN trim(coalesce(hostname, '')) = '' THEN ip ELSE ip || ' (' || hostname || ')' END"
@@ -276,7 +279,7 @@ LABEL = "CASE WHEN trim(coalesce(hostname, '')) = '' THEN ip ELSE ip || ' (' ||
 @query("host_label", with_views("features", f"SELECT scan_id, ip, {LABEL} AS host_label FROM features"))
 def host_label(spark, d):
     return features(spark, d).select(
-        *KEYS, H.host_name_label(F.col("ip"), F.col("hostname")).alias("host_label"))
+        *KEYS, H.host_name_label().alias("host_label"))
 
 
 @query("mark_trusted", with_views("hosts trusted", """

@@ -42,7 +42,7 @@ detail AS (
 
 @query("service_bucket", with_views("profiled", "SELECT scan_id, ip, protocol, port, bucket FROM profiled"))
 def service_bucket(spark, d):
-    return D.port_obs(spark, d).select(*PORT_COLUMNS, P.service_bucket(F.col("service")).alias("bucket"))
+    return D.port_obs(spark, d).select(*PORT_COLUMNS, P.service_bucket().alias("bucket"))
 
 
 PROFILE_SELECT = """SELECT scan_id, ip, protocol, port, profile_name AS name, category, risk_level,
@@ -54,7 +54,7 @@ SELECT scan_id, ip, protocol, port, category, CAST(risk_score AS INT) AS risk_sc
 def port_profile(spark, d):
     return D.port_obs(spark, d).select(
         *PORT_COLUMNS, P.port_category().alias("category"), P.port_risk_score().alias("risk_score")
-    ).withColumn("risk_level", P.risk_level(F.col("risk_score")))
+    ).withColumn("risk_level", P.risk_level("risk_score"))
 
 
 @query("join_port_profile", with_views("profiled", PROFILE_SELECT))
@@ -72,14 +72,14 @@ def script_summary(spark, d):
     scripts = F.array(*[F.struct(a.alias("id"), b.cast("string").alias("output")) for a, b in (
         (F.col("source"), F.col("text")), (F.col("lang"), F.lit("")),
         (F.lit("size"), F.col("n_chars")), (F.lit("extra"), F.col("text")))])
-    return docs.select("doc_id", P.script_summary(scripts).alias("script_summary"))
+    return docs.select("doc_id", scripts.alias("scripts")).select("doc_id", P.script_summary().alias("script_summary"))
 
 
 @query("script_text", with_views("obs", """
 SELECT scan_id, ip, protocol, port, lower(array_to_string(flatten(list_transform(scripts, lambda s: [s.id, s.output])), ' ')) AS script_text
 FROM obs"""))
 def script_text(spark, d):
-    return D.port_obs(spark, d).select(*PORT_COLUMNS, P.script_text(F.col("scripts")).alias("script_text"))
+    return D.port_obs(spark, d).select(*PORT_COLUMNS, P.script_text().alias("script_text"))
 
 
 @query("enrich_port", with_views("profiled", f"""
