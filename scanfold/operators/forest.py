@@ -6,9 +6,11 @@ run and no group grows with the data. The node table has a fixed upper size
 """
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +21,9 @@ from scanfold.values import rules as R
 NODE_SCHEMA = "tree_id int, node_id int, feature int, threshold double, size int"
 OVERSAMPLE = 2
 
+# Executors get these functions by value, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _uniform(*columns):
     """Hash of the columns as a number in [0, 1)."""

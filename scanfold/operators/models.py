@@ -51,7 +51,7 @@ def split_rows(training: DataFrame) -> DataFrame:
         "is_test", F.col("_rank") <= F.ceil(F.col("n") * share)).select(*training.columns, "is_test")
 
 
-def _label_index() -> Column:
+def label_index() -> Column:
     return F.when(F.col("label") == LABELS[1], 1.0).otherwise(0.0)
 
 
@@ -69,6 +69,11 @@ def candidates(rows: int, weight_sum: float) -> list:
     return models
 
 
+def fit_candidate(model, train: DataFrame) -> PipelineModel:
+    assembler = VectorAssembler(inputCols=feature_columns(), outputCol="vector")
+    return Pipeline(stages=[assembler, model]).fit(train)
+
+
 def score_rows(rows: DataFrame, model: PipelineModel) -> DataFrame:
     """Add prediction and probability of ``suspicious``; absent features are zero."""
     filled = zero_fill(rows, feature_columns())
@@ -86,7 +91,7 @@ def train_models(training: DataFrame, with_forest: bool = True) -> tuple:
         return None, note
     split = split_rows(training)
     # Classes are balanced on the training side.
-    train = class_weights(split.filter(~F.col("is_test"))).withColumn("label_index", _label_index()).persist()
+    train = class_weights(split.filter(~F.col("is_test"))).withColumn("label_index", label_index()).persist()
     test = split.filter("is_test").persist()
     try:
         state = train.agg(F.count("*").alias("rows"), F.sum("weight").alias("weight"),
@@ -94,12 +99,11 @@ def train_models(training: DataFrame, with_forest: bool = True) -> tuple:
         if state.labels < 2:
             return None, R.NOTE_ONE_CLASS_SPLIT
         names = feature_columns()
-        assembler = VectorAssembler(inputCols=names, outputCol="vector")
         total = state.rows + test.count()
         best, reports, errors = None, [], {}
         for name, model in candidates(total, state.weight):
             try:
-                fitted = Pipeline(stages=[assembler, model]).fit(train)
+                fitted = fit_candidate(model, train)
                 report = binary_metrics(score_rows(test, fitted)).withColumn("model_name", F.lit(name))
                 row = report.first()
             except Exception as error:  # one failing candidate must not stop the others

@@ -17,4 +17,5 @@ def query(key: str, sql: str | None = None):
 
 
 def load() -> None:
-    from scanfold.workload import baseline, hosts, memory, ports, predictions, sources  # noqa: F401
+    from scanfold.workload import (baseline, hosts, memory, models, ports, predictions,  # noqa: F401
+                                   sources, streams)
