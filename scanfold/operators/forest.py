@@ -36,9 +36,11 @@ def tree_samples(rows: DataFrame, keys: list, trees: int, sample: int, seed: int
     wanted = sample * OVERSAMPLE
     if total <= trees * wanted:
         share = min(1.0, wanted / max(total, 1))
-        spread = rows.withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        drawn = spread.withColumn("draw", _uniform(F.lit(seed), "tree_id", *keys))
-        return drawn.filter(F.col("draw") < share)
+        # The trees of a row are chosen before it is repeated, so only drawn rows are copied.
+        chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)),
+                          lambda t: _uniform(F.lit(seed), t, *keys) < share)
+        return rows.withColumn("tree_id", F.explode(chosen)).withColumn(
+            "draw", _uniform(F.lit(seed), "tree_id", *keys))
     drawn = rows.filter(_uniform(F.lit(seed), *keys) < trees * wanted / total)
     return drawn.withColumns({
         "tree_id": F.pmod(F.xxhash64(F.lit(seed + 1), *keys), F.lit(trees)).cast("int"),

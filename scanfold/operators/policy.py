@@ -7,9 +7,14 @@ from scanfold.values import rules as R
 
 
 def ignore_ports(port_obs: DataFrame, ignored: DataFrame) -> DataFrame:
-    """Drop ignored ports. Hosts are kept by joining features back to the host table."""
-    listed = ignored.select(F.col("port").cast("int").alias("port")).distinct()
-    return port_obs.join(listed, "port", "left_anti").select(*port_obs.columns)
+    """Drop ignored ports. Hosts are kept by joining features back to the host table.
+
+    The list is broadcast: there are at most 65,536 distinct port numbers. A shuffle on the
+    port would send a common port to one task.
+    """
+    listed = ignored.select(F.col("port").cast("int").alias("port")).filter(
+        F.col("port").between(0, 65535)).distinct()
+    return port_obs.join(F.broadcast(listed), "port", "left_anti").select(*port_obs.columns)
 
 
 def mark_trusted(hosts: DataFrame, trusted: DataFrame) -> DataFrame:

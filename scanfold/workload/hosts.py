@@ -8,6 +8,7 @@ from scanfold.operators import hosts as HO
 from scanfold.operators import policy as PY
 from scanfold.operators import training as TR
 from scanfold.sources import driver_tables as D
+from scanfold.sources.workspace import stored
 from scanfold.values import rules as R
 from scanfold.workload import query
 from scanfold.workload.oracle_base import (ASSET, FEATURES, FEATURE_NAMES, PROFILED, listed, quote,
@@ -305,7 +306,7 @@ def training_build(spark, d):
 SELECT scan_id, ip, heuristic_score, label FROM labelled WHERE label = 'normal'
 UNION SELECT scan_id, ip, heuristic_score, label FROM labelled"""))
 def augment_training(spark, d):
-    rows = labelled(spark, d).select(*KEYS, "heuristic_score", "label")
+    rows = stored(labelled(spark, d).select(*KEYS, "heuristic_score", "label"), "labelled")
     return TR.augment_training(rows.filter("label = 'normal'"), rows)
 
 

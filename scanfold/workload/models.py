@@ -10,7 +10,7 @@ from scanfold.operators import training as TR
 from scanfold.plans import jobs, reports
 from scanfold.sinks import tables as SK
 from scanfold.sources import driver_tables as D
-from scanfold.sources.workspace import new_path
+from scanfold.sources.workspace import new_path, stored
 from scanfold.workload import query
 from scanfold.workload.oracle_base import with_views
 
@@ -19,14 +19,12 @@ RUN_AT = "2024-01-31 12:00:00"
 
 
 def features(spark, d):
-    return FE.host_features(D.port_obs(spark, d))
+    return stored(FE.host_features(D.port_obs(spark, d)), "features")
 
 
 def training(spark, d):
     """The training table, written once and read back."""
-    path = new_path(spark, "training")
-    TR.build_training(features(spark, d)).write.parquet(path)
-    return spark.read.parquet(path)
+    return stored(TR.build_training(FE.host_features(D.port_obs(spark, d))), "training")
 
 
 def trained(spark, d, with_forest=False):

@@ -17,7 +17,7 @@ from scanfold.plans import reports
 from scanfold.sinks import tables as SK
 from scanfold.sources import driver_tables as D
 from scanfold.sources import tables as ST
-from scanfold.sources.workspace import new_path
+from scanfold.sources.workspace import new_path, stored
 from scanfold.values import rules as R
 from scanfold.workload import query
 from scanfold.workload.baseline import REPORT
@@ -239,7 +239,7 @@ def network_patterns(spark, d):
 
 @query("pattern_affected_hosts", with_predictions("SELECT scan_id, pattern_id, ip, hostname FROM affected", PATTERNS))
 def pattern_affected_hosts(spark, d):
-    return PA.affected_hosts(predictions(spark, d))
+    return PA.affected_hosts(stored(predictions(spark, d), "predictions"))
 
 
 @query("patterns_sink", with_predictions("SELECT scan_id, pattern_id, affected_count, mitre FROM patterns", PATTERNS))
@@ -282,7 +282,7 @@ def risk_ranking(spark, d):
 SELECT scan_id, ip, {LABEL} AS host_label, anomaly_score, prediction FROM predictions
 WHERE (SELECT max(anomaly_score) FROM predictions) > 0.01"""))
 def anomaly_ranking(spark, d):
-    return HO.anomaly_ranking(predictions(spark, d))
+    return HO.anomaly_ranking(stored(predictions(spark, d), "predictions"))
 
 
 @query("top3_alerts", with_predictions("""
@@ -318,7 +318,7 @@ pattern_lines AS (
 
 @query("pattern_report", with_predictions("SELECT * FROM pattern_lines", PATTERN_LINES))
 def pattern_report(spark, d):
-    rows = predictions(spark, d)
+    rows = stored(predictions(spark, d), "predictions")
     return reports.pattern_report(PA.network_patterns(rows), PA.affected_hosts(rows))
 
 
@@ -362,5 +362,6 @@ report_lines AS (
 
 @query("prediction_report", with_predictions("SELECT scan_id, section, line FROM report_lines", REPORT_SQL))
 def prediction_report(spark, d):
-    return reports.prediction_report(predictions(spark, d), scan_diff(spark, d)).select(
-        "scan_id", "section", "line")
+    diff = stored(scan_diff(spark, d), "diff")
+    rows = stored(predictions(spark, d, B.change_flags(diff)), "predictions")
+    return reports.prediction_report(rows, diff).select("scan_id", "section", "line")
