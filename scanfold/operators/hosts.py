@@ -60,17 +60,16 @@ def minmax_bounds(raw: DataFrame, column: str = "raw_score") -> DataFrame:
     return raw.groupBy("scan_id").agg(F.min(column).alias("raw_min"), F.max(column).alias("raw_max"))
 
 
-def build_predictions(features: DataFrame, scores: DataFrame, top_ports: DataFrame,
+def build_predictions(scored: DataFrame, top_ports: DataFrame,
                       changes: DataFrame | None = None) -> DataFrame:
     """Complete prediction table.
 
-    ``scores`` holds prediction, probability and anomaly score per host, ``changes`` the
+    ``scored`` holds features with prediction, probability and anomaly score, ``changes`` the
     flags of ``change_flags``; without it the baseline part of the risk is zero.
     """
-    joined = features.join(scores, KEYS).join(top_ports, KEYS, "left")
+    joined = scored.join(top_ports, KEYS, "left")
     if changes is None:
-        flags = {name: F.lit(False) for name, _ in R.CHANGE_SCORES}
-        joined = joined.withColumns(flags)
+        joined = joined.withColumns({name: F.lit(False) for name, _ in R.CHANGE_SCORES})
     else:
         joined = joined.join(changes, KEYS, "left")
     return complete_predictions(joined)

@@ -109,8 +109,7 @@ def predict_stage(ports: DataFrame, hosts: DataFrame, bundle: models.ModelBundle
                   diff: DataFrame, out: str) -> DataFrame:
     """Scores, risk, override, export, patterns and report."""
     scored = models.predict_scores(host_features(ports, hosts), bundle)
-    joined = scored.join(risky_hosts(ports), KEYS, "left").join(B.change_flags(diff), KEYS, "left")
-    predictions = HO.complete_predictions(joined)
+    predictions = HO.build_predictions(scored, risky_hosts(ports), B.change_flags(diff))
     if policy.trusted is not None:
         predictions = PY.override_trusted(predictions, policy.trusted)
     predictions = _stored(predictions, f"{out}/predictions_full")
@@ -195,9 +194,6 @@ def fixture_train_job(records: DataFrame, out: str, run_at) -> DataFrame | None:
     if bundle is None:
         return None
     tops = records.select(*KEYS, record_top_risk_ports().alias("top_risk_ports"))
-    scored = models.predict_scores(features, bundle).join(tops, KEYS)
-    flags = {"is_new_host": F.lit(False), "has_opened_port": F.lit(False),
-             "has_version_change": F.lit(False)}
-    predictions = HO.complete_predictions(scored.withColumns(flags))
+    predictions = HO.build_predictions(models.predict_scores(features, bundle), tops)
     SK.write_predictions(predictions, f"{out}/predictions")
     return predictions

@@ -46,8 +46,8 @@ def scored(spark, d):
 def predictions(spark, d, changes=None):
     rows = HO.score_anomaly(scored(spark, d)).drop("raw_score", "label", "label_confidence")
     flags = B.change_flags(scan_diff(spark, d)) if changes is None else changes
-    joined = rows.join(PO.risky_hosts(D.port_obs(spark, d)), KEYS, "left").join(flags, KEYS, "left")
-    return PY.override_trusted(HO.complete_predictions(joined), D.trusted_hosts(spark, d))
+    built = HO.build_predictions(rows, PO.risky_hosts(D.port_obs(spark, d)), flags)
+    return PY.override_trusted(built, D.trusted_hosts(spark, d))
 
 
 def with_predictions(select, extra=""):

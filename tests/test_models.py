@@ -38,6 +38,18 @@ def test_forest_ranks_an_outlier_first(spark, cafe):
     assert min(scored, key=lambda r: r.raw_score).ip == "10.10.0.1"
 
 
+def test_tree_samples_stay_bounded(spark):
+    def sizes(rows):
+        drawn = forest.tree_samples(rows, ["id"], R.FOREST_TREES, R.FOREST_SAMPLE, R.SEED)
+        return [r["count"] for r in drawn.groupBy("tree_id").count().collect()]
+
+    many = sizes(spark.range(400_000))
+    assert len(many) == R.FOREST_TREES and min(many) >= R.FOREST_SAMPLE and max(many) < 4 * R.FOREST_SAMPLE
+    some = sizes(spark.range(20_000))
+    assert len(some) == R.FOREST_TREES and min(some) >= R.FOREST_SAMPLE and max(some) < 4 * R.FOREST_SAMPLE
+    assert sizes(spark.range(300)) == [300] * R.FOREST_TREES
+
+
 def test_forest_scores_match_a_plain_walk(spark, cafe):
     rows = FE.record_features(cafe)
     nodes = forest.fit_forest(rows)
