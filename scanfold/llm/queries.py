@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanfold.llm import bpe, exact_dedup
+from scanfold.llm import bpe, chat_format, exact_dedup, secret_scan, token_files, toxicity, url_filter
+from scanfold.sources.workspace import stored
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -32,6 +33,48 @@ def op5_exact_dedup(spark, d):
     return exact_dedup.exact_groups(table(spark, d, "documents"))
 
 
+@query("op6_token_files")
+def op6_token_files(spark, d):
+    return token_files.token_file_digest(table(spark, d, "documents"))
+
+
 @query("op9_bpe")
 def op9_bpe(spark, d):
     return bpe.round_trip_digest(table(spark, d, "documents"))
+
+
+@query("op1_secret_scan")
+def op1_secret_scan(spark, d):
+    return secret_scan.secret_digest(table(spark, d, "documents"))
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark, d):
+    return toxicity.score_digest(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query("op7_url_filter")
+def op7_url_filter(spark, d):
+    return url_filter.judge(table(spark, d, "pages"))
+
+
+@query("op10_chat_format", r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, t, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(t, r)),
+sized AS (
+  SELECT *, length(regexp_replace(text, '([<\[])(\\*/?(?:s>|INST\]|REPLY\]|SYS\]|ROLE[ \]]))', '\1\\\2', 'g'))
+    + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 12 WHEN 'system' THEN 13
+      ELSE 16 + length(replace(replace(role, '%', '%25'), ']', '%5D')) END AS size FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (3 + sum(size))::BIGINT AS formatted_chars, count(*) FILTER (role = 'assistant') AS n_examples
+FROM sized GROUP BY conv_id""")
+def op10_chat_format(spark, d):
+    own = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant")).alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat_format.format_digest(stored(chat_format.format_conversations(turns), "chat"))
