@@ -1,16 +1,17 @@
 """Toxic passages: maximum-scoring segments over token log-odds with Dirichlet priors.
 
-A word's weight is the log-odds of being in toxic rather than clean labelled documents. Both
-classes get a Dirichlet prior in proportion to how many of all documents have the word, and the
-weight is taken at the cautious end of its confidence interval, so rare words say little; each
-word also costs ``gap``. A linear scan finds every maximal-scoring segment of a document. Under
+A word is known by itself and by its beginnings of a few lengths, so that inflected forms of a stem
+help each other. Each such token has the log-odds of being in toxic rather than clean labelled
+documents. Both classes get a Dirichlet prior in proportion to how often all documents have the
+token, and the log-odds are taken at the cautious end of their confidence interval, so rare tokens
+say little. A word's weight is that of its most telling token, less the cost ``gap``. A linear scan finds every maximal-scoring segment of a document. Under
 the clean distribution, segment scores follow an extreme-value law with the rate that solves
 sum(p * exp(rate * weight)) = 1 and a constant counted from the clean labelled documents; it turns
 a segment's score into a p-value. A document's evidence is the sum of its segments' scaled scores;
 a logistic curve fitted on labelled documents turns evidence and the best segment's extreme-value
 score into the document's score.
 
-Words are hashed to ``BUCKETS`` cells, so the model has one size for any input. Counts for the
+Tokens are hashed to ``BUCKETS`` cells, so the model has one size for any input. Counts for the
 prior come from all documents; the fit takes at most ``most_labelled`` labelled rows, those with
 the smallest hash of their id. Rows whose label or id is null, or whose id has several labels that
 differ, teach nothing. A null or empty text has no segment and gets the score of no evidence.
@@ -22,6 +23,7 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,9 @@ from pyspark.sql import functions as F
 from scanfold.llm.bpe import in_small_batches
 from scanfold.llm.common import text_of
 
-BUCKETS = 1 << 18
+BUCKETS = 1 << 19
+#: Lengths of the beginnings that stand for a word beside the word itself.
+BEGINNINGS = (3, 4, 5, 6, 7)
 WORD = re.compile(r"[^\W\d_]+")
 #: Labelled rows that the fit takes at most.
 MOST_LABELLED = 200_000
@@ -41,24 +45,41 @@ MOST_LABELLED = 200_000
 class ToxicityModel:
     """Everything that scoring needs; its size doesn't depend on the input."""
 
-    weights: np.ndarray  # of each bucket, the gap taken off
+    weights: np.ndarray  # of each bucket
+    gap: float
     rate: float  # of the extreme-value law
     constant: float
     curve: np.ndarray  # logistic: bias, evidence, root of evidence, best segment's extreme-value score
     trained: bool = True
 
 
+def tokens_of(word: str) -> list[int]:
+    """The buckets of a word and of its beginnings."""
+    return [zlib.crc32(("=" + word).encode()) % BUCKETS, *(zlib.crc32(word[:k].encode()) % BUCKETS for k in BEGINNINGS if k <= len(word))]
+
+
+class WordTokens(dict):
+    """Buckets by word for one task, emptied when many."""
+
+    def __missing__(self, word: str) -> list[int]:
+        if len(self) > 200_000:
+            self.clear()
+        found = self[word] = tokens_of(word)
+        return found
+
+
 class WordWeights(dict):
     """Weights by word for one task, emptied when many."""
 
-    def __init__(self, weights: np.ndarray):
+    def __init__(self, model: ToxicityModel):
         super().__init__()
-        self.weights = weights.tolist()
+        self.weights, self.gap = model.weights, model.gap
 
     def __missing__(self, word: str) -> float:
         if len(self) > 300_000:
             self.clear()
-        found = self[word] = self.weights[zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS]
+        own = self.weights[tokens_of(word)]
+        found = self[word] = float(own[np.abs(own).argmax()]) - self.gap
         return found
 
 
@@ -100,16 +121,16 @@ def _with_labels(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str)
 
 
 def count_words(texts: DataFrame) -> np.ndarray:
-    """Documents that have a word of each bucket: all of them, clean ones, toxic ones."""
+    """How many words of a bucket documents have, each different word of a document once: all
+    documents, clean ones, toxic ones."""
 
     def run(batches):
-        counts = np.zeros((3, BUCKETS), np.int64)
+        counts, known = np.zeros((3, BUCKETS), np.int64), WordTokens()
         for batch in in_small_batches(batches, 0):
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = np.array(list({zlib.crc32(w.encode()) % BUCKETS for w in set(WORD.findall(text.lower()))}), np.int64)
-                counts[0][own] += 1
-                if toxic is not None:
-                    counts[1 + toxic][own] += 1
+            own = [[*chain.from_iterable(map(known.__getitem__, set(WORD.findall(x.lower()))))] for x in batch.column(0).to_pylist()]
+            labels = batch.column(1).to_pylist()
+            for k, chosen in enumerate((own, [x for x, y in zip(own, labels) if y == 0], [x for x, y in zip(own, labels) if y == 1])):
+                counts[k] += np.bincount(np.fromiter(chain.from_iterable(chosen), np.int64), minlength=BUCKETS)
         some = np.flatnonzero(counts[0])
         for part in np.array_split(some, max(1, len(some) // 65536)):
             yield pa.RecordBatch.from_pydict({"bucket": part, "n": counts[0][part], "clean": counts[1][part], "toxic": counts[2][part]})
@@ -129,14 +150,14 @@ def weigh(counts: np.ndarray, prior: float, caution: float, gap: float) -> tuple
     clean, toxic = counts[1] + alpha, counts[2] + alpha
     odds = np.log(toxic / (toxic.sum() - toxic)) - np.log(clean / (clean.sum() - clean))
     spread = np.sqrt(1 / toxic + 1 / clean)
-    weights = np.sign(odds) * np.maximum(0, np.abs(odds) - caution * spread) - gap
+    weights = np.sign(odds) * np.maximum(0, np.abs(odds) - caution * spread)
     share = clean / clean.sum()
     low, high = 1e-6, 1.0
-    while share @ np.exp(high * weights) < 1 and high < 64:
+    while share @ np.exp(high * (weights - gap)) < 1 and high < 64:
         high *= 2
     for _ in range(60):
         mid = (low + high) / 2
-        low, high = (mid, high) if share @ np.exp(mid * weights) < 1 else (low, mid)
+        low, high = (mid, high) if share @ np.exp(mid * (weights - gap)) < 1 else (low, mid)
     return weights, low
 
 
@@ -184,12 +205,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = _with_labels(docs, chosen, id_col, text_col)
     counts = count_words(texts)
     if not counts[1].any() or not counts[2].any():
-        return ToxicityModel(np.zeros(BUCKETS), 1.0, 1.0, np.zeros(4), False)
+        return ToxicityModel(np.zeros(BUCKETS), gap, 1.0, 1.0, np.zeros(4), False)
     weights, rate = weigh(counts, prior, caution, gap)
-    model = ToxicityModel(weights, rate, 1.0, np.zeros(4))
+    model = ToxicityModel(weights.astype(np.float32), gap, rate, 1.0, np.zeros(4))
 
     def run(batches):
-        known = WordWeights(weights)
+        known = WordWeights(model)
         for batch in in_small_batches(batches, 0):
             rows = []
             for text in batch.column(0).to_pylist():
@@ -222,7 +243,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_type
 
-        known = WordWeights(model.weights)
+        known = WordWeights(model)
         passage = pa.struct([("start_word", pa.int64()), ("end_word", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("p", pa.float64())])
         for batch in in_small_batches(batches, 1):
             found = [_features(x, known, model, True) for x in batch.column(1).to_pylist()]
@@ -259,7 +280,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        known = WordWeights(model.weights)
+        known = WordWeights(model)
         for batch in in_small_batches(batches, at):
             found = [_features(x or "", known, model, False) for x in batch.column(at).to_pylist()]
             if model.trained and found:
