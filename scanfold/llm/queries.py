@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanfold.llm import bpe, chat_format, exact_dedup, secret_scan, token_files, toxicity, url_filter
+from scanfold.llm import bpe, chat_format, decontaminate, exact_dedup, secret_scan, token_files, toxicity, url_filter
 from scanfold.sources.workspace import stored
 
 QUERIES: dict = {}
@@ -78,3 +78,8 @@ def op10_chat_format(spark, d):
         F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant")).alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     turns = table(spark, d, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
     return chat_format.format_digest(stored(chat_format.format_conversations(turns), "chat"))
+
+
+@query("op3_decontaminate")
+def op3_decontaminate(spark, d):
+    return decontaminate.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark"))
