@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanfold.llm import bpe, chat_format, decontaminate, exact_dedup, ngram_join, secret_scan, token_files, toxicity, url_filter
+from scanfold.llm import bpe, chat_format, decontaminate, exact_dedup, ngram_join, secret_scan, substring_dedup, token_files, toxicity, url_filter
 from scanfold.sources.workspace import stored
 
 QUERIES: dict = {}
@@ -102,3 +102,8 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b F
 SELECT doc_id, len(s) AS n_shingles, component_id FROM sets JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)""")
 def op2_ngram_jaccard(spark, d):
     return ngram_join.near_duplicates(table(spark, d, "documents"))
+
+
+@query("op8_substring_dedup")
+def op8_substring_dedup(spark, d):
+    return substring_dedup.repeated_passages(table(spark, d, "documents"))
