@@ -1,31 +1,53 @@
-"""Corpus pipeline over ``documents``: each stage works on what the one before it kept."""
+"""Corpus pipeline over ``documents``: each stage works on all that the one before it kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanfold.llm import bpe, exact_dedup
+from scanfold.llm import bpe, decontaminate, exact_dedup, ngram_join, toxicity
 from scanfold.sources.workspace import stored
 
 
+def drop_toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text isn't judged toxic, by a model learnt from ``labels`` and these documents."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each different text, the one with the smallest id."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that shares four fifths of its five-word shingles, the one with the smallest id."""
+    return ngram_join.drop_near_duplicates(docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of ``benchmark``."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the encoded and again decoded texts."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each text, encoded and decoded again."""
     return bpe.round_trip_digest(docs)
 
 
-STAGES = [("exact dedup", drop_exact_copies), ("bpe", encode_texts)]
+STAGES = [
+    ("toxicity", drop_toxic_documents),
+    ("exact_dedup", drop_exact_copies),
+    ("ngram_jaccard", drop_near_copies),
+    ("decontaminate", drop_benchmark_leaks),
+    ("bpe", encode_texts),
+]
 
 #: Toxicity and BPE have no SQL form; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each but the last is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
