@@ -17,6 +17,7 @@ import heapq
 import json
 import re
 from collections.abc import Iterable
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -30,7 +31,7 @@ WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|
 NO_RANK = np.int32(2**31 - 1)
 #: Words of more bytes take the heap.
 SCAN_BYTES = 256
-#: Entries that a task's cache holds at most; it is emptied beyond them.
+#: Entries that a cache of a worker process holds at most; it is emptied beyond them.
 CACHE_WORDS = 400_000
 #: Words whose matrices are worked on at once.
 ROWS = 8192
@@ -79,8 +80,6 @@ class RankArrayBpe:
         self.rank_of_pair = order.astype(np.int32)
         self.made = made
         self.rank = {(int(a), int(b)): r for r, (a, b) in enumerate(zip(left, right))}
-        self.special_split = re.compile("|".join(
-            map(re.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The merge rank of each pair; pairs with a negative id on either side have none."""
@@ -200,10 +199,12 @@ class ChunkCache:
 
 
 class TextEncoder:
-    """Ids of whole texts as bytes, for one task."""
+    """Ids of whole texts as bytes. ``encode_words`` gives the ids, as bytes, of words that
+    ``WORD_PATTERN`` found; ``specials`` are the ids of special strings."""
 
-    def __init__(self, bpe: RankArrayBpe):
-        self.bpe, self.words = bpe, {}
+    def __init__(self, encode_words, specials: dict[str, int]):
+        self.encode_words, self.specials, self.words = encode_words, specials, {}
+        self.special_split = re.compile("|".join(map(re.escape, sorted(specials, key=len, reverse=True)))) if specials else None
         self.find = regex.compile(WORD_PATTERN).findall
         self.cache = ChunkCache(self._chunks)
 
@@ -212,7 +213,7 @@ class TextEncoder:
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
         new = list(set(chain.from_iterable(split)) - self.words.keys())
-        self.words.update(zip(new, (x.tobytes() for x in self.bpe.encode_words([w.encode() for w in new]))))
+        self.words.update(zip(new, self.encode_words(new)))
         known = self.words.__getitem__
         return [b"".join(map(known, x)) for x in split]
 
@@ -221,8 +222,8 @@ class TextEncoder:
         own: list[list] = []
         for text in texts:
             pieces, at = [], 0
-            for m in self.bpe.special_split.finditer(text) if self.bpe.special_split else ():
-                pieces += [text[at:m.start()], self.bpe.specials[m[0]]]
+            for m in self.special_split.finditer(text) if self.special_split else ():
+                pieces += [text[at:m.start()], self.specials[m[0]]]
                 at = m.end()
             own.append([*pieces, text[at:]])
             parts += [x for x in own[-1] if isinstance(x, str)]
@@ -230,6 +231,19 @@ class TextEncoder:
         return [b"".join(next(ids) if isinstance(x, str) else x.to_bytes(4, "little") for x in pieces) for pieces in own]
 
 
+@lru_cache(maxsize=2)
+def rank_array_bpe(vocabulary: str | None) -> RankArrayBpe:
+    """Loaded once per worker process, which later tasks use again."""
+    return RankArrayBpe(vocabulary)
+
+
+@lru_cache(maxsize=2)
+def text_encoder(vocabulary: str | None) -> TextEncoder:
+    """An encoder whose caches later tasks of the worker process use again."""
+    bpe = rank_array_bpe(vocabulary)
+    return TextEncoder(lambda words: [x.tobytes() for x in bpe.encode_words([w.encode() for w in words])], bpe.specials)
+
+
 def in_small_batches(batches: Iterable[pa.RecordBatch], column: int, most_bytes: int = 4 << 20) -> Iterable[pa.RecordBatch]:
     """Cut batches so that each holds about so many bytes of a text column, and one row at least."""
     for batch in batches:
@@ -251,7 +265,7 @@ def encode(docs: DataFrame, text_col: str = "text", out_col: str = "ids", vocabu
     arrow, at = to_arrow_schema(schema), docs.columns.index(text_col)
 
     def run(batches):
-        encoder = TextEncoder(RankArrayBpe(vocabulary))
+        encoder = text_encoder(vocabulary)
         for batch in in_small_batches(batches, at):
             ids = encoder.encode([x or "" for x in batch.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(batch.columns, arrow)), pa.array(ids, arrow.field(len(arrow) - 1).type)], schema=arrow)
@@ -270,7 +284,7 @@ def decode(rows: DataFrame, ids_col: str = "ids", out_col: str = "decoded", voca
     arrow, at = to_arrow_schema(schema), rows.columns.index(ids_col)
 
     def run(batches):
-        bpe = RankArrayBpe(vocabulary)
+        bpe = rank_array_bpe(vocabulary)
         for batch in in_small_batches(batches, at):
             texts = [bpe.decode(x or b"") for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(batch.columns, arrow)), pa.array(texts, arrow.field(len(arrow) - 1).type)], schema=arrow)

@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 import os
 import struct
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scanfold.llm.bpe import ChunkCache, default_vocabulary, in_small_batches
+from scanfold.llm.bpe import TextEncoder, default_vocabulary, in_small_batches
 from scanfold.llm.common import text_of
 from scanfold.sources.workspace import new_path, stored
 
@@ -135,12 +136,13 @@ class TokenFile:
         return self.ids[self.ends.select(i - 1) if i else 0:self.ends.select(i)]
 
 
+@lru_cache(maxsize=2)
 def library_encoder(vocabulary: str):
-    """A function from texts to ids as bytes, by the tokenizers library.
+    """A function from texts to ids as bytes, by the tokenizers library, and the vocabulary's size.
 
-    The library works on each different chunk once per task; see ``ChunkCache`` for why the ids of
-    a text are those of its chunks. A special token never spans a chunk's edge unless its string
-    has a space in it; with such a vocabulary, whole texts go to the library.
+    The library works on each different word once per cache of a worker process: its byte-level
+    vocabularies split a text at special tokens, then by ``WORD_PATTERN``, and merge within words
+    only. With a vocabulary of another build, whole texts go to the library.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -149,15 +151,17 @@ def library_encoder(vocabulary: str):
     tokenizer.no_truncation()
     tokenizer.no_padding()
 
-    def chunks(texts: list[str]) -> list[bytes]:
+    def encode(texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     with open(vocabulary, encoding="utf-8") as file:
         stated = json.load(file)
-    plain = stated["normalizer"] is None and stated["pre_tokenizer"] and stated["pre_tokenizer"]["type"] == "ByteLevel" \
-        and not stated["pre_tokenizer"]["add_prefix_space"] and stated["post_processor"] is None \
-        and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in stated["added_tokens"])
-    return (ChunkCache(chunks).encode if plain else chunks), tokenizer.get_vocab_size()
+    first, added = stated["pre_tokenizer"] or {}, stated["added_tokens"] or []
+    by_word = stated["normalizer"] is None and stated["post_processor"] is None and first.get("type") == "ByteLevel" \
+        and first.get("use_regex", True) and not first["add_prefix_space"] \
+        and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
+    whole = TextEncoder(encode, {t["content"]: t["id"] for t in added}).encode if by_word else encode
+    return whole, tokenizer.get_vocab_size()
 
 
 def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text",
