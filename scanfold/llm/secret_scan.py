@@ -1,8 +1,9 @@
 """Secret scans: three fixed patterns, and a ratio of two character Markov models.
 
 One model describes random strings, the other ordinary identifiers. Both are counted from labelled
-samples in all documents: the values that the patterns find are random strings, all other runs of
-token characters are ordinary. The random model is mixed with an even one. A run is a secret of the method when the log-likelihood ratio of
+samples in all documents: the values that the patterns find are random strings; runs of token
+characters outside of them whose parts are words or numbers are ordinary identifiers; other runs
+teach nothing. The random model is mixed with an even one. A run is a secret of the method when the log-likelihood ratio of
 its characters, summed and per character, reaches the two thresholds. Only the table of character
 pairs goes through the driver; it has as many cells for any input.
 
@@ -33,6 +34,9 @@ KINDS = ("assign", "access", "hex", "random")
 #: Runs of token characters that the method looks at, and those that the models learn from.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 SAMPLE = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
+#: Lower-case, capital or camel-case words and numbers between separators.
+PART = re.compile(r"(?:[A-Z]?[a-z]{2,}+)++[0-9]{0,4}|[A-Z]+[0-9]{0,4}|[0-9]+|[a-z]|")
+SEPARATORS = re.compile(r"[+/_=-]+")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 CELLS = len(ALPHABET) + 1  # and the start of a string
 CODE = np.full(128, CELLS - 1, np.int64)
@@ -51,6 +55,11 @@ def base_spans(text: str) -> list[tuple[int, int, int, int]]:
     return sorted(found)
 
 
+def is_ordinary(run: str) -> bool:
+    """Whether all parts of a run of token characters are words or numbers."""
+    return all(map(PART.fullmatch, SEPARATORS.split(run)))
+
+
 def pairs(strings: list[str]) -> np.ndarray:
     """Counts of adjacent characters, the start of a string included."""
     counts = np.zeros(CELLS * CELLS, np.int64)
@@ -73,8 +82,9 @@ def outside(spans: list, found: list[re.Match]) -> list[re.Match]:
     return kept
 
 
-def train(docs: DataFrame, text_col: str = "text", smoothing: float = 0.5) -> np.ndarray:
-    """Log-likelihood ratio of each character after another, random over ordinary."""
+def train(docs: DataFrame, text_col: str = "text", smoothing: float = 0.5, backing: float = 20.0) -> np.ndarray:
+    """Log-likelihood ratio of each character after another, random over ordinary. Each pair's
+    chance leans on that of its second character alone, by as much as ``backing`` samples."""
 
     def run(batches):
         counts = np.zeros((2, CELLS * CELLS), np.int64)
@@ -84,17 +94,18 @@ def train(docs: DataFrame, text_col: str = "text", smoothing: float = 0.5) -> np
                 spans = base_spans(text)
                 secret += [text[value:end] for _, _, end, value in spans]
                 found = SAMPLE.finditer(text) if spans else SAMPLE.findall(text)
-                ordinary += [m[0] for m in outside(spans, found)] if spans else found
+                ordinary += filter(is_ordinary, [m[0] for m in outside(spans, found)] if spans else found)
             counts += pairs(secret), pairs(ordinary)
         kind, cell = np.nonzero(counts)
         yield pa.RecordBatch.from_pydict({"kind": kind, "cell": cell, "n": counts[kind, cell]})
 
     told = (docs.select(text_of(text_col).alias("text")).mapInArrow(run, "kind long, cell long, n long")
             .groupBy("kind", "cell").agg(F.sum("n").alias("n")).collect())
-    counts = np.full((2, CELLS, CELLS), smoothing)
+    counts = np.zeros((2, CELLS, CELLS))
     for kind, cell, n in told:
         counts[kind, cell // CELLS, cell % CELLS] += n
-    chance = counts / counts.sum(axis=2, keepdims=True)
+    alone = counts.sum(axis=1, keepdims=True) + smoothing
+    chance = (counts + backing * alone / alone.sum(axis=2, keepdims=True)) / (counts.sum(axis=2, keepdims=True) + backing)
     # Half of the random model is even over the alphabet: samples of one form, as hex, don't rule out others.
     return np.log((chance[0] + 1 / CELLS) / 2) - np.log(chance[1])
 
