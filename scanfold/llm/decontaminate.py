@@ -8,7 +8,7 @@ counts 1 and a different one -4, so at least four fifths of it are equal, must h
 equal words, or four fifths of an item that has fewer.
 
 Words are runs of letters and digits in lower case. Items shorter than the masks' span are looked
-up by a mask of their own length without ignored places. A null or empty text has no words and no
+up by a mask of their own length without ignored places, and must be there whole. A null or empty text has no words and no
 hits. Rows without an id can't be named and are left out; rows that share one are taken together. Empty tables on either side give an empty result. Only the
 named columns are read.
 
@@ -38,10 +38,15 @@ def word_hashes(text: Column) -> Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _windows(rows: DataFrame, masks: dict[str, tuple]) -> DataFrame:
-    """id, p, k of each window: rows has id and h. A window at the end that a mask doesn't fit has none."""
+def _windows(rows: DataFrame, masks: dict[str, tuple], items: bool) -> DataFrame:
+    """id, p and each mask's hash of each window: rows has id and h. A window at the end that a mask
+    doesn't fit has none, and of items only those of its own length have the hash of a short mask."""
     each = rows.select("id", "h", F.posexplode("h").alias("p", "x"))
-    hashes = [F.when(F.col("p") + mask[-1] < F.size("h"), F.xxhash64(F.lit(name), *[F.get("h", F.col("p") + o) for o in mask])).alias(name) for name, mask in masks.items()]
+
+    def fits(name: str, mask: tuple) -> Column:
+        return (F.size("h") == len(mask)) & (F.col("p") == 0) if items and name.startswith("s") else F.col("p") + mask[-1] < F.size("h")
+
+    hashes = [F.when(fits(name, mask), F.xxhash64(F.lit(name), *[F.get("h", F.col("p") + o) for o in mask])).alias(name) for name, mask in masks.items()]
     return each.select("id", "p", *hashes)
 
 
@@ -72,7 +77,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     named = {f"m{i}": m for i, m in enumerate(masks)} | {f"s{n}": tuple(range(n)) for n in sorted(short)}
 
     def keys(rows: DataFrame, bits: Column | None) -> DataFrame:
-        wide = _windows(rows, named)
+        wide = _windows(rows, named, bits is None)
         if bits is not None:
             # First whether any of a window's hashes may hit, then each hash on its own.
             some = F.lit(False)
@@ -106,7 +111,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                         F.when(better, s["at"] + 1).otherwise(s["best_end"]).alias("best_end"), F.when(better, equal).otherwise(s["best_hits"]).alias("best_hits"))
 
     best = scan.select("id", "item", "diagonal", "size", F.aggregate("equal", state, step).alias("s"))
-    wanted = F.least(F.lit(least_words), F.ceil(F.col("size") * 0.8))
+    wanted = F.when(F.col("size") < span, F.col("size")).otherwise(F.least(F.lit(least_words), F.ceil(F.col("size") * 0.8)))
     found = best.filter(F.col("s.best_hits") >= wanted).select("id", "item", F.struct(
         F.col("s.best_hits").alias("n_equal"), (-(F.col("s.best_start") + F.col("diagonal"))).alias("before"), F.col("s.best_start").alias("item_word"),
         (F.col("s.best_end") - F.col("s.best_start")).alias("n_words")).alias("b"))
