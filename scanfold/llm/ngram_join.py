@@ -7,11 +7,12 @@ A document is the set of its distinct shingles. Two link when their sets' inters
    documents, in a table of one size) and then its hash. Linked sets share a shingle among the
    lowest ranked of each, so nodes meet at those keys. Ranking common shingles last keeps passages
    that many documents share from being keys.
-2. At each key, every node is first held against one of them, which joins dense groups in linear time.
-3. Where nodes of different components still meet at a key, shingles are hashed into groups, and
-   the counts by group are points in an R-tree. The sum of the smaller counts of two points, or of
-   two boxes' upper corners, bounds the overlap, so pairs of boxes are left out whole; what
-   survives is verified. Keys with many nodes are cut into tiles and each pair of tiles is a
+2. Shingles are hashed into groups, and a set's counts by group are its point. The sum of the
+   smaller counts of two points bounds the overlap of their sets. At each key, every node is first
+   held against one of them, which joins dense groups in linear time.
+3. Where nodes of different components still meet at a key, their points go into an R-tree. The
+   smaller counts of two boxes' upper corners bound all pairs between them, so pairs of boxes are
+   left out whole; what survives is verified. Keys with many nodes are cut into tiles and each pair of tiles is a
    task's work, so that no group meets in one place.
 
 A pair is verified by the sets themselves. Words are runs without the six ASCII white-space characters, A-Z
@@ -63,6 +64,26 @@ def shingle_set(text: str, words: int) -> np.ndarray:
     return np.unique(folded)
 
 
+def pack_counts(own: np.ndarray) -> bytes:
+    """A set's counts by group of hashes, 64 groups or more for larger sets: a byte for the width
+    of a count, then the counts. Groups are the hashes' leading bits, so neighbours can be added up
+    to the counts of half as many groups."""
+    bits = 6 + (len(own) // 256).bit_length()
+    counts = np.bincount((own >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    width = 1 if counts.max() < 256 else 4
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+
+
+def unpack_counts(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+
+
+def overlap_bound(x: np.ndarray, y: np.ndarray) -> int:
+    """The sum of the smaller counts, over as many groups as both have."""
+    groups = min(len(x), len(y))
+    return int(np.minimum(x.reshape(groups, -1).sum(axis=1), y.reshape(groups, -1).sum(axis=1)).sum())
+
+
 class Box:
     """A node of the R-tree: the upper corner of its points, and the range of their sizes."""
 
@@ -146,7 +167,7 @@ def _sketches(rows: DataFrame, words: int, percent: int, level: np.ndarray, seed
                 rank = np.lexsort((own, level[(own % np.uint64(CELLS)).astype(np.int64)]))
                 keys.append(own[rank[:taken]].view(np.int64))
                 ends.append(ends[-1] + taken)
-                counts.append(np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype("<u4").tobytes())
+                counts.append(pack_counts(own))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(nodes, pa.int64()), pa.array(proofs, pa.int64()), pa.array(sizes, pa.int64()),
                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))),
@@ -205,7 +226,24 @@ def _verified(pairs: DataFrame, rows: DataFrame, heads: DataFrame, words: int, p
     return stored(full.mapInArrow(run, "a long, b long"), "jaccard-links")
 
 
-def _rest(members: DataFrame, roots: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+def _bounded(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sizes, and whose summed smaller counts, allow a link."""
+    def side(node: str, n: str, counts: str) -> DataFrame:
+        return heads.select(F.col("node").alias(node), F.col("n").alias(n), F.col("counts").alias(counts))
+
+    full = pairs.join(side("a", "m", "x"), "a").join(side("b", "n", "y"), "b").filter(
+        f"100 * least(m, n) >= {percent} * greatest(m, n)").select("a", "b", "m", "n", "x", "y")
+
+    def run(batches):
+        for batch in batches:
+            keep = pa.array([(100 + percent) * overlap_bound(unpack_counts(x), unpack_counts(y)) >= percent * (m + n)
+                             for m, n, x, y in zip(*(batch.column(c).to_pylist() for c in range(2, 6)))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    return full.mapInArrow(run, "a long, b long")
+
+
+def _rest(members: DataFrame, roots: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
     """Pairs of nodes of different components that meet at a key and whose counts allow a link."""
     placed = stored(members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "jaccard-members")
     # Keys with the same nodes are one group.
@@ -213,7 +251,7 @@ def _rest(members: DataFrame, roots: DataFrame, sketches: DataFrame, percent: in
                                        F.min("root").alias("low"), F.max("root").alias("high"))
     groups = groups.filter("size > 2 and low < high").groupBy("size", "sum", "xor").agg(F.min("key").alias("key"))
     groups = stored(groups.select("key", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")), "jaccard-groups")
-    points = sketches.select("node", "n", "counts").dropDuplicates(["node"])
+    points = heads.select("node", "n", "counts")
     open_ = placed.join(groups, "key")
     open_ = stored(open_.join(points.join(open_.select("node").distinct(), "node", "left_semi"), "node"), "jaccard-open")
     tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
@@ -229,13 +267,16 @@ def _rest(members: DataFrame, roots: DataFrame, sketches: DataFrame, percent: in
             table = pa.Table.from_batches(held)
             side = table.column("tile").to_numpy() == unit[1]
             nodes, roots, sizes = (table.column(c).to_numpy() for c in ("node", "root", "n"))
-            points = np.frombuffer(b"".join(table.column("counts").to_pylist()), "<u4").reshape(len(nodes), GROUPS).astype(np.int64)
+            counts = [unpack_counts(x) for x in table.column("counts").to_pylist()]
+            points = np.stack([x.reshape(GROUPS, -1).sum(axis=1) for x in counts])
             every = np.arange(len(nodes))
             left, right = (every, every) if unit[1] == unit[2] else (every[side], every[~side])
             if unit[1] == unit[2]:
                 right = left
             for x, y in tree_pairs(points, sizes, left, right, percent):
                 apart = roots[x] != roots[y]
+                # What the tree leaves is bounded once more by all groups that both points have.
+                apart[apart] = [(100 + percent) * overlap_bound(counts[i], counts[j]) >= percent * (sizes[i] + sizes[j]) for i, j in zip(x[apart], y[apart])]
                 if apart.any():
                     x, y = nodes[x[apart]], nodes[y[apart]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
@@ -265,24 +306,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for seed in range(256):
         sketches = stored(_sketches(rows, words, percent, level, seed), "jaccard-sketches")
         heads = stored(sketches.filter("n > 0 and id is not null").groupBy("node").agg(
-            F.min("id").alias("id"), F.max("n").alias("n"), (F.min("proof") != F.max("proof")).alias("mixed")), "jaccard-heads")
+            F.min("id").alias("id"), F.max("n").alias("n"), F.any_value("counts").alias("counts"), (F.min("proof") != F.max("proof")).alias("mixed")), "jaccard-heads")
         if heads.filter("mixed").isEmpty():
             break  # else two different sets share 64 bits, and another seed tells them apart
     heads = heads.drop("mixed")
     entries = sketches.filter("n > 0 and id is not null").select(F.explode("keys").alias("key"), "node")
     shared = stored(entries.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last"), "jaccard-keys")
     members = stored(entries.join(shared, "key").select("key", "node", "pivot").distinct(), "jaccard-meet")
-    sizes = heads.select("node", "n")
     first = members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    first = first.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("m")), "a").join(sizes.select(F.col("node").alias("b"), "n"), "b")
-    first = stored(first.filter(f"100 * least(m, n) >= {percent} * greatest(m, n)").select("a", "b"), "jaccard-first")
+    first = stored(_bounded(first, heads, percent), "jaccard-first")
     # Texts of one id that differ are versions of one document.
     versions = sketches.filter("n > 0 and id is not null").select("id", "node").distinct()
     several = versions.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z")
     own = versions.join(several, "id").filter("a <> node").select("a", F.col("node").alias("b"))
     links = stored(_verified(first, rows, heads, words, percent, seed).unionByName(own), "jaccard-star")
     roots = connected(links)
-    rest = stored(_rest(members.select("key", "node"), roots, sketches, percent).join(first, ["a", "b"], "left_anti"), "jaccard-rest")
+    rest = stored(_rest(members.select("key", "node"), roots, heads, percent).join(first, ["a", "b"], "left_anti"), "jaccard-rest")
     if not rest.isEmpty():
         roots = connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_verified(rest, rows, heads, words, percent, seed)))
     labels = heads.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
