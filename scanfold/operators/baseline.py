@@ -22,6 +22,19 @@ def port_profile(port_obs: DataFrame) -> DataFrame:
             .select(*KEYS, "hostname", "port", "s.*"))
 
 
+#: Port of the row that says a host was there, whether or not it had an open port.
+HOST_ROW = -1
+
+
+def with_hosts(profile: DataFrame, hosts: DataFrame) -> DataFrame:
+    """A profile with a row for each host of the host table, so that hosts without ports count."""
+    present = hosts.filter(F.col("ip") != "").groupBy(*KEYS).agg(F.max("hostname").alias("hostname"))
+    text = F.lit("")
+    return profile.unionByName(present.select(
+        *KEYS, "hostname", F.lit(HOST_ROW).cast(profile.schema["port"].dataType).alias("port"), text.alias("service"),
+        text.alias("product"), text.alias("version")))
+
+
 def baseline_profile(port_obs: DataFrame) -> DataFrame:
     """Nested form: sorted ports and a map from port to service, per host."""
     entry = F.struct("port", F.struct("service", "product", "version").alias("s"))
@@ -44,12 +57,15 @@ def previous_scans(scans: DataFrame) -> DataFrame:
     return ranked.join(before, "n", "left").select("scan_id", "previous_scan_id")
 
 
-def scan_pairs(profile: DataFrame, scans: DataFrame) -> tuple:
+def scan_pairs(profile: DataFrame, scans: DataFrame, only: DataFrame | None = None) -> tuple:
     """Current and baseline sides for every scan that has an earlier scan.
 
-    ``scans`` lists the scan ids; for a stored table that is its partition list.
+    ``scans`` lists the scan ids; for a stored table that is its partition list. ``only``: the
+    scans to compare, where the others are there to be compared with.
     """
     pairs = previous_scans(scans).filter(F.col("previous_scan_id").isNotNull())
+    if only is not None:
+        pairs = pairs.join(only.select("scan_id").distinct(), "scan_id", "left_semi")
     current = salted_join(profile, pairs.select("scan_id"), ["scan_id"], ["ip", "port"], "inner")
     following = pairs.select(F.col("previous_scan_id").alias("scan_id"),
                              F.col("scan_id").alias("next_scan_id"))
@@ -102,6 +118,7 @@ def port_set_difference(current: DataFrame, baseline: DataFrame) -> DataFrame:
 
 def host_diff(current: DataFrame, baseline: DataFrame) -> DataFrame:
     """All changes of one comparison: one row per host, one full outer join on the port.
+    Host rows (``with_hosts``) count for a host's presence and are no ports.
 
     The arrays of a host hold at most its ports.
     """
@@ -117,10 +134,11 @@ def host_diff(current: DataFrame, baseline: DataFrame) -> DataFrame:
     change = F.when(changed, F.struct(
         "port", F.col("c.service").alias("service"), text("b").alias("from_version"),
         text("c").alias("to_version")))
+    is_port = F.col("port") != HOST_ROW
     grouped = both.groupBy(*KEYS).agg(
         F.count("c").alias("current_ports"), F.count("b").alias("baseline_ports"),
-        F.array_sort(F.collect_list(F.when(F.col("b").isNull(), F.col("port")))).alias("added"),
-        F.array_sort(F.collect_list(F.when(F.col("c").isNull(), F.col("port")))).alias("removed"),
+        F.array_sort(F.collect_list(F.when(F.col("b").isNull() & is_port, F.col("port")))).alias("added"),
+        F.array_sort(F.collect_list(F.when(F.col("c").isNull() & is_port, F.col("port")))).alias("removed"),
         F.array_sort(F.collect_list(change)).alias("version_changes"))
     known = (F.col("current_ports") > 0) & (F.col("baseline_ports") > 0)
     none = F.lit([]).cast("array<int>")

@@ -34,11 +34,14 @@ class Policy:
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table is there; one that is there but can't be read is an error."""
     from scanfold.sources.tables import AnalysisException
     try:
         spark.read.parquet(path).schema
         return True
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return False
 
 
@@ -88,20 +91,24 @@ def enrichment_job(records: DataFrame, second: DataFrame | None = None) -> DataF
     return E.enrich_unknown_ports(explode_ports(records), records.select(*HOST_COLUMNS), second)
 
 
-def scan_diff(ports: DataFrame, out: str) -> DataFrame:
+def scan_diff(ports: DataFrame, out: str, hosts: DataFrame | None = None, ignored: DataFrame | None = None) -> DataFrame:
     """Changes of each scan against the scan before it, stored or in the same batch.
 
-    Of the stored baseline only the newest earlier scan is read.
+    Both sides leave out the ports that are ignored now, so a changed list makes no change. With
+    the host table, a host counts as present even without open ports. A scan that is stored
+    already is replaced by the one given.
     """
     spark = ports.sparkSession
     profile = B.port_profile(ports)
+    if hosts is not None:
+        profile = B.with_hosts(profile, hosts)
+    own = profile.select("scan_id").distinct()
     if _exists(spark, f"{out}/baseline"):
-        stored = spark.read.schema(profile.schema).parquet(f"{out}/baseline")
-        first = ports.agg(F.min("scan_id")).first()[0]
-        newest = stored.filter(F.col("scan_id") < first).agg(F.max("scan_id")).first()[0]
-        if newest is not None:
-            profile = profile.unionByName(stored.filter(F.col("scan_id") == newest))
-    current, earlier = B.scan_pairs(profile, profile.select("scan_id").distinct())
+        stored = spark.read.schema(profile.schema).parquet(f"{out}/baseline").join(own, "scan_id", "left_anti")
+        if ignored is not None:
+            stored = PY.ignore_ports(stored, ignored)
+        profile = profile.unionByName(stored)
+    current, earlier = B.scan_pairs(profile, profile.select("scan_id").distinct(), own)
     return B.host_diff(current, earlier)
 
 
@@ -128,9 +135,9 @@ def predict_job(records: DataFrame, bundle: models.ModelBundle, out: str,
     hosts = _stored(records.select(*HOST_COLUMNS), f"{out}/hosts")
     ports = PY.ignore_ports(raw, policy.ignored) if policy.ignored is not None else raw
     SK.write_port_details(ports, f"{out}/port_details")
-    diff = _stored(scan_diff(ports, out), f"{out}/diff")
+    diff = _stored(scan_diff(ports, out, hosts, policy.ignored), f"{out}/diff")
     predictions = predict_stage(ports, hosts, bundle, policy, diff, out)
-    SK.write_baseline(raw, f"{out}/baseline")
+    SK.write_baseline(raw, f"{out}/baseline", hosts)
     return predictions
 
 
@@ -139,8 +146,8 @@ def full_job(records: DataFrame, out: str, run_at, mode: str = "real", source: s
              learned: DataFrame | None = None, samples: DataFrame | None = None) -> tuple:
     """All stages for landed scans; returns (predictions or None, note).
 
-    Policy comes before training. Raw ports are stored as the baseline, so a later change
-    of the ignored ports makes no false differences.
+    Policy comes before training. The baseline holds all ports as the second pass left them,
+    ignored ones too, so neither it nor a later change of the list makes false differences.
     """
     spark = records.sparkSession
     policy = policy or Policy()
@@ -162,12 +169,16 @@ def full_job(records: DataFrame, out: str, run_at, mode: str = "real", source: s
     SK.write_training(training, f"{out}/training", f"{out}/training_readable")
     training = spark.read.parquet(f"{out}/training")
 
-    diff = _stored(scan_diff(ports, out), f"{out}/diff")
+    diff = _stored(scan_diff(ports, out, hosts, policy.ignored), f"{out}/diff")
     bundle, note = train_job(training, out)
     predictions = None
     if bundle is not None:
         predictions = predict_stage(ports, hosts, bundle, policy, diff, out)
-    SK.write_baseline(raw, f"{out}/baseline")
+    everything = ports
+    if policy.ignored is not None:
+        hidden = raw.join(visible.select(*KEYS, "pos"), [*KEYS, "pos"], "left_anti").select(*raw.columns)
+        everything = ports.unionByName(E.enrich_unknown_ports(hidden, hosts, second))
+    SK.write_baseline(everything, f"{out}/baseline", hosts)
     snapshot = records.select(*HOST_COLUMNS, "open_ports")
     if predictions is not None:
         snapshot = snapshot.join(predictions.select(

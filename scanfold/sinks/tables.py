@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from scanfold.operators import hosts as HO
 from scanfold.operators import memory as M
 from scanfold.operators import ports as PO
-from scanfold.operators.baseline import port_profile
+from scanfold.operators.baseline import port_profile, with_hosts
 
 
 def write_predictions(predictions: DataFrame, path: str, fmt: str = "csv") -> None:
@@ -38,9 +38,13 @@ def append_history(rows: DataFrame, path: str) -> bool:
     return True
 
 
-def write_baseline(port_obs: DataFrame, path: str) -> None:
-    """Keep the profile of every scan; rewriting a scan replaces only that scan."""
-    (port_profile(port_obs).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+def write_baseline(port_obs: DataFrame, path: str, hosts: DataFrame | None = None) -> None:
+    """Keep the profile of every scan; rewriting a scan replaces only that scan. With the host
+    table, hosts without open ports are kept too."""
+    profile = port_profile(port_obs)
+    if hosts is not None:
+        profile = with_hosts(profile, hosts)
+    (profile.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("scan_id").parquet(path))
 
 
