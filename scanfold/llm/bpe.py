@@ -31,7 +31,7 @@ WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|
 NO_RANK = np.int32(2**31 - 1)
 #: Words of more bytes take the heap.
 SCAN_BYTES = 256
-#: Entries that a cache of a worker process holds at most; it is emptied beyond them.
+#: Entries that a cache holds at most; it is emptied beyond them.
 CACHE_WORDS = 400_000
 #: Words whose matrices are worked on at once.
 ROWS = 8192
@@ -237,9 +237,9 @@ def rank_array_bpe(vocabulary: str | None) -> RankArrayBpe:
     return RankArrayBpe(vocabulary)
 
 
-@lru_cache(maxsize=2)
 def text_encoder(vocabulary: str | None) -> TextEncoder:
-    """An encoder whose caches later tasks of the worker process use again."""
+    """An encoder with caches of its own. A task makes one, so that a worker process that goes on to
+    other work holds none of its words."""
     bpe = rank_array_bpe(vocabulary)
     return TextEncoder(lambda words: [x.tobytes() for x in bpe.encode_words([w.encode() for w in words])], bpe.specials)
 
