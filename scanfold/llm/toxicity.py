@@ -7,9 +7,11 @@ token, and the log-odds are taken at the cautious end of their confidence interv
 say little. A word's weight is that of its most telling token, less the cost ``gap``. A linear scan finds every maximal-scoring segment of a document. Under
 the clean distribution, segment scores follow an extreme-value law with the rate that solves
 sum(p * exp(rate * weight)) = 1 and a constant counted from the clean labelled documents; it turns
-a segment's score into a p-value. A document's evidence is the sum of its segments' scaled scores;
-a logistic curve fitted on labelled documents turns evidence and the best segment's extreme-value
-score into the document's score.
+a segment's score into an extreme-value score, corrected for the document's length, and a p-value.
+A document's evidence is the sum of the extreme-value scores of its significant segments, so what
+clean text holds by chance doesn't add up. A logistic curve fitted on labelled documents turns
+evidence and its best segment into the document's score; its coefficients are zero or above, so more
+toxic text never lowers a score, and clean text only by the correction, the logarithm of the length.
 
 Tokens are hashed to ``BUCKETS`` cells, so the model has one size for any input. Counts for the
 prior come from all documents; the fit takes at most ``most_labelled`` labelled rows, those with
@@ -23,7 +25,7 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 
 from scanfold.llm.bpe import in_small_batches
 from scanfold.llm.common import text_of
+from scanfold.sources.workspace import stored
 
 BUCKETS = 1 << 19
 #: Lengths of the beginnings that stand for a word beside the word itself.
@@ -39,6 +42,8 @@ BEGINNINGS = (3, 4, 5, 6, 7)
 WORD = re.compile(r"[^\W\d_]+")
 #: Labelled rows that the fit takes at most.
 MOST_LABELLED = 200_000
+#: Extreme-value score of a p-value of 0.05.
+SIGNIFICANT = float(-np.log(-np.log(0.95)))
 
 
 @dataclass
@@ -49,7 +54,7 @@ class ToxicityModel:
     gap: float
     rate: float  # of the extreme-value law
     constant: float
-    curve: np.ndarray  # logistic: bias, evidence, root of evidence, best segment's extreme-value score
+    curve: np.ndarray  # logistic: bias, evidence, root of evidence, best significant segment's extreme-value score
     trained: bool = True
 
 
@@ -170,13 +175,14 @@ def _features(text: str, known: WordWeights, model: ToxicityModel, spans: bool):
     found = maximal_segments(scores)
     scaled = [model.rate * s for _, _, s in found]
     corrected = [x - np.log(model.constant * len(words)) for x in scaled]
+    telling = [c for c in corrected if c >= SIGNIFICANT]
     passages = []
     if spans:
         places = [(m.start(), m.end()) for m in WORD.finditer(text)] if len(text) == len(text.lower()) else None
         for (start, end, s), c in zip(found, corrected):
             where = (places[start][0], places[end - 1][1]) if places and len(places) == len(words) else (None, None)
             passages.append({"start_word": start, "end_word": end, "start": where[0], "end": where[1], "score": s, "p": float(-np.expm1(-np.exp(-c)))})
-    return float(sum(scaled)), float(max(0.0, *corrected)), passages
+    return float(sum(telling)), float(max(telling, default=0.0)), passages
 
 
 def _design(evidence: np.ndarray, best: np.ndarray) -> np.ndarray:
@@ -184,6 +190,22 @@ def _design(evidence: np.ndarray, best: np.ndarray) -> np.ndarray:
 
 
 def _fit_curve(design: np.ndarray, toxic: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Logistic regression whose coefficients, but for the bias, are zero or above: the best of the
+    fits to each subset of the columns that keep to it, which is the constrained optimum."""
+    best, least = np.zeros(design.shape[1]), np.inf
+    for n in range(design.shape[1]):
+        for some in combinations(range(1, design.shape[1]), n):
+            chosen = [0, *some]
+            curve = _fit_freely(design[:, chosen], toxic, ridge)
+            odds = design[:, chosen] @ curve
+            loss = np.logaddexp(0, odds).sum() - odds @ toxic + ridge / 2 * (curve[1:] @ curve[1:])
+            if (curve[1:] >= 0).all() and loss < least:
+                best, least = np.zeros(design.shape[1]), loss
+                best[chosen] = curve
+    return best
+
+
+def _fit_freely(design: np.ndarray, toxic: np.ndarray, ridge: float) -> np.ndarray:
     """Logistic regression by Newton steps."""
     curve = np.zeros(design.shape[1])
     penalty = np.diag([0.0] + [ridge] * (design.shape[1] - 1)) + 1e-9 * np.eye(design.shape[1])
@@ -217,17 +239,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 words = WORD.findall(text.lower())
                 scores = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
                 found = [s for _, _, s in maximal_segments(scores)] if len(words) else []
-                rows.append((len(words), sum(found), max(found, default=0.0), sum(s >= level for s in found)))
-            words, evidence, best, over = zip(*rows) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_pydict({"toxic": batch.column(1).cast(pa.int32()), "words": pa.array(words, pa.int64()), "evidence": pa.array(evidence, pa.float64()), "best": pa.array(best, pa.float64()), "over": pa.array(over, pa.int64())})
-
-    rows = texts.filter("toxic is not null").mapInArrow(run, "toxic int, words long, evidence double, best double, over long").toPandas()
-    clean = rows[rows["toxic"] == 0]
-    expected = max(1.0, float(clean["words"].sum())) * np.exp(-rate * level)
-    model.constant = float(max(1.0, clean["over"].sum()) / expected)
-    evidence, best = rate * rows["evidence"].to_numpy(float), rate * rows["best"].to_numpy(float)
-    corrected = np.where(best > 0, np.maximum(0, best - np.log(model.constant * np.maximum(1, rows["words"].to_numpy(float)))), 0)
-    model.curve = _fit_curve(_design(evidence, corrected), rows["toxic"].to_numpy(float))
+                rows.append((len(words), found))
+            words, segments = zip(*rows) if rows else ((), ())
+            yield pa.RecordBatch.from_pydict({"toxic": batch.column(1).cast(pa.int32()), "words": pa.array(words, pa.int64()), "segments": pa.array(segments, pa.list_(pa.float64()))})
+
+    rows = stored(texts.filter("toxic is not null").mapInArrow(run, "toxic int, words long, segments array<double>"), "toxicity-segments")
+    clean = rows.filter("toxic = 0").agg(F.sum("words").alias("words"), F.sum(F.size(F.filter("segments", lambda x: x >= level))).alias("over")).first()
+    expected = max(1.0, float(clean["words"] or 0)) * np.exp(-rate * level)
+    model.constant = float(max(1.0, clean["over"] or 0) / expected)
+    correction = F.log(F.lit(model.constant) * F.greatest("words", F.lit(1)))
+    telling = F.filter(F.transform("segments", lambda x: x * rate - correction), lambda x: x >= SIGNIFICANT)
+    told = rows.select("toxic", telling.alias("c")).select(
+        "toxic", F.aggregate("c", F.lit(0.0), lambda a, x: a + x).alias("evidence"), F.coalesce(F.array_max("c"), F.lit(0.0)).alias("best")).toPandas()
+    model.curve = _fit_curve(_design(told["evidence"].to_numpy(float), told["best"].to_numpy(float)), told["toxic"].to_numpy(float))
     return model
 
 

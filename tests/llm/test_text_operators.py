@@ -94,6 +94,31 @@ def test_toxicity(documents, spark):
     assert toxicity.score_digest(documents([]), labels).count() == 0
 
 
+def test_toxic_passages_in_long_clean_texts(documents, spark):
+    """Most toxic passages are found inside varied clean text of any length, and no such text without one."""
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = toxicity.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), labels)
+    assert (model.curve[1:] >= 0).all() and model.curve[1:].any()
+    scored = by_id(toxicity.score_documents(documents(docs.items()), model))
+    told = {r.doc_id: r.toxic for r in labels.collect()}
+    # Documents that are clean, and that the model finds clear, from which long texts are put together.
+    clean = [docs[i] for i in sorted(docs) if told.get(i) == 0 and all(p["p"] > 0.05 for p in scored[i]["passages"])]
+    toxic = [docs[i] for i in sorted(docs) if told.get(i) == 1 and scored[i]["score"] > 0.9][:8]
+    draw, pairs = random.Random(2), []
+    for size in (10_000, 100_000):
+        for i in range(9):
+            own = []
+            while len(own) < size:
+                own += draw.choice(clean).split()
+            at = len(own) // 2
+            pairs.append((size + i, " ".join(own[:at] + (toxic[i].split() if i < 8 else []) + own[at:])))
+    got = by_id(toxicity.score_documents(documents(pairs), model))
+    for size in (10_000, 100_000):
+        # The correction for length hides the weakest; before, the clean text around them hid all.
+        assert sum(got[size + i]["predicted"] for i in range(8)) >= 5 and not got[size + 8]["predicted"]
+
+
 def test_toxicity_of_table(spark):
     got = by_id(QUERIES["op4_toxicity"](spark, "/root/testdata/sf0.01"))
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()
