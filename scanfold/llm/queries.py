@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanfold.llm import bpe, chat_format, decontaminate, exact_dedup, ngram_join, secret_scan, substring_dedup, token_files, toxicity, url_filter
+from scanfold.llm import (bpe, chat_format, collocations, decontaminate, exact_dedup, filter_audit, ngram_join, secret_scan,
+                          substring_dedup, token_files, toxicity, url_filter, warc)
 from scanfold.sources.workspace import stored
 
 QUERIES: dict = {}
@@ -107,3 +108,80 @@ def op2_ngram_jaccard(spark, d):
 @query("op8_substring_dedup")
 def op8_substring_dedup(spark, d):
     return substring_dedup.repeated_passages(table(spark, d, "documents"))
+
+
+#: (order, step, own, before) of all orders of the five filters.
+STEPS = ", ".join(f"('{order}', {step}, {own}, {before})" for order, step, own, before in filter_audit.steps())
+
+
+@query("op11_filter_audit", rf"""
+WITH texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+firsts AS (SELECT t, min(doc_id) AS first FROM texts GROUP BY t),
+marked AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+flags AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > first THEN 16 ELSE 0 END AS mask
+  FROM texts JOIN firsts USING (t) LEFT JOIN marked USING (doc_id)),
+masks AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM flags GROUP BY part, mask),
+steps(filter_order, step, own, before) AS (VALUES {STEPS})
+SELECT part, filter_order, CAST(step AS INT) AS step,
+  CAST(coalesce(sum(n) FILTER (mask & (before | own) = 0), 0) AS BIGINT) AS kept,
+  CAST(coalesce(sum(n) FILTER (mask & before = 0 AND mask & own <> 0), 0) AS BIGINT) AS removed,
+  CAST(coalesce(sum(n) FILTER (mask & before <> 0 AND mask & own <> 0), 0) AS BIGINT) AS redundant,
+  CAST(coalesce(sum(n) FILTER (mask = own), 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(sum(good) FILTER (mask & before = 0 AND mask & own <> 0), 0) AS BIGINT) AS good_lost,
+  CAST(coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & own <> 0), 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(n * (120 // greatest(bit_count(mask), 1))) FILTER (mask & own <> 0), 0) AS BIGINT) AS shapley
+FROM masks CROSS JOIN steps GROUP BY part, filter_order, step""")
+def op11_filter_audit(spark, d):
+    return filter_audit.filter_audit(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query("op12_collocations", r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (
+  SELECT lang, row_number() OVER () AS piece_id, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+placed AS (SELECT lang, piece_id, unnest(w) AS w1, generate_subscripts(w, 1) AS i FROM words),
+following AS (
+  SELECT lang, w1, lead(w1, 1) OVER p AS w2, lead(w1, 2) OVER p AS w3 FROM placed WINDOW p AS (PARTITION BY piece_id ORDER BY i)),
+f AS (
+  SELECT lang, 1 AS k, w1 AS phrase, count(*) AS a FROM following GROUP BY ALL
+  UNION ALL SELECT lang, 2, w1 || ' ' || w2, count(*) FROM following WHERE w2 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3, count(*) FROM following WHERE w3 IS NOT NULL GROUP BY ALL),
+totals AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 10),
+parts AS (
+  SELECT lang, phrase, a, 1 AS cut, w[1] AS left_part, array_to_string(w[2:k], ' ') AS right_part FROM candidates
+  UNION ALL SELECT lang, phrase, a, 2, array_to_string(w[1:2], ' '), w[3] FROM candidates WHERE k = 3),
+cuts AS (
+  SELECT p.lang, p.phrase, p.a, p.cut, l.a AS l, r.a AS r,
+    CAST((1000000 :: HUGEINT * p.a * p.a) // (l.a :: HUGEINT * r.a) AS BIGINT) AS score
+  FROM parts p JOIN f l ON l.lang = p.lang AND l.phrase = p.left_part JOIN f r ON r.lang = p.lang AND r.phrase = p.right_part),
+scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inside AS (
+  SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM candidates WHERE k = 3
+  UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM candidates WHERE k = 3),
+longer AS (SELECT lang, phrase, max(a) AS longer FROM inside GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+FROM scored LEFT JOIN longer USING (lang, phrase) JOIN totals USING (lang)
+WHERE longer IS NULL OR 100 * longer < 50 * a QUALIFY rank <= 2000""")
+def op12_collocations(spark, d):
+    return collocations.collocations(table(spark, d, "documents"))
+
+
+@query("op13_warc", """
+WITH payloads AS (SELECT page_id, encode(coalesce(html, '')) AS p FROM pages),
+sized AS (SELECT page_id, octet_length(p) AS payload_bytes, sha256(p) AS payload_digest FROM payloads),
+firsts AS (SELECT payload_digest, min(page_id) AS first FROM sized WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM sized LEFT JOIN firsts USING (payload_digest)""")
+def op13_warc(spark, d):
+    return warc.warc_round_trip(table(spark, d, "pages"))
