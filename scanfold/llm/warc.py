@@ -41,8 +41,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 MEMBER = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
-#: Where a record may begin: a gzip member, or a version line at a line's start.
-START = re.compile(rb"\x1f\x8b\x08|(?<![^\n])WARC/1\.[01]\r\n")
+#: Where a record may begin: a gzip member or a version line.
+START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 CHUNK = 1 << 20
 MOST_HEADER_BYTES = 1 << 20
 
@@ -286,14 +286,10 @@ def _next_start(window: Window, after: int) -> int:
     """The first place from ``after`` on where a member or a version line begins; the file's size if none."""
     at = after
     while at < window.size:
-        # One byte before, to see whether a version line begins its line.
-        back = 1 if at else 0
-        found = START.search(window.get(at - back, CHUNK), back)
+        found = START.search(window.get(at, CHUNK))
         if found:
-            return at - back + found.start()
-        if at - back + CHUNK >= window.size:
-            break
-        at += CHUNK - 16 - back
+            return at + found.start()
+        at += CHUNK - 9  # a version line may begin in these bytes
     return window.size
 
 
