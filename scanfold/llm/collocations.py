@@ -38,6 +38,8 @@ from scanfold.sources.workspace import stored
 UNKNOWN_LANGUAGE = "und"
 LEAST = 10
 KEPT = 2000
+#: Parts that a language's candidates are ranked in before they are ranked together.
+RANKED_PARTS = 32
 #: Bits of a word's number in a code of pairs and triples, so the most words that have one.
 WORD_BITS = 20
 MOST_WORDS = 1 << WORD_BITS
@@ -90,14 +92,24 @@ def _texts(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN_LANGUAGE)).alias("lang"), text_of(text_col).alias("text"))
 
 
+def _most_frequent(rows: DataFrame, most: int, order: list) -> tuple:
+    """The first rows in the order, ``most`` at most, at the driver; and whether these are all.
+
+    Few enough rows are sorted here, since a limit on Spark would send them all through one task.
+    """
+    whole = rows.count() <= most
+    if whole:
+        return rows.toArrow().sort_by([(name, "descending" if down else "ascending") for name, down in order]), True
+    return rows.orderBy(*[F.desc(name) if down else F.asc(name) for name, down in order]).limit(most).toArrow(), False
+
+
 class Numbers:
     """Numbers of the most frequent words of each language, by falling frequency."""
 
     def __init__(self, words: DataFrame, most: int):
         most = min(most, MOST_WORDS)
         # ``most`` rows at most come to the driver.
-        rows = words.orderBy(F.desc("f"), "lang", "word").limit(most).select("lang", "word").toArrow()
-        self.whole = rows.num_rows < most or words.count() == most
+        rows, self.whole = _most_frequent(words.select("lang", "word", "f"), most, [("f", True), ("lang", False), ("word", False)])
         self.by_lang: dict = {}
         for lang, word in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
             own = self.by_lang.setdefault(lang, {})
@@ -113,8 +125,7 @@ class Pairs:
 
     def __init__(self, pairs: DataFrame, most: int):
         coded = pairs.filter(F.col("code").isNotNull())
-        rows = coded.orderBy(F.desc("a"), "lang", "code").limit(most).select("lang", "code").toArrow()
-        self.whole = rows.num_rows < most or coded.count() == most
+        rows, self.whole = _most_frequent(coded.select("lang", "code", "a"), most, [("a", True), ("lang", False), ("code", False)])
         self.by_lang: dict = {}
         langs, codes = rows.column(0).to_numpy(zero_copy_only=False), rows.column(1).to_numpy()
         for lang in set(langs.tolist()):
@@ -313,7 +324,9 @@ def collocations(docs: DataFrame, least: int = LEAST, kept: int = KEPT, lang_col
     long = long.select("lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), "a", *[
         F.when(early, F.col(f"{c}1")).otherwise(F.col(f"{c}2")).alias(name) for c, name in (("l", "l"), ("r", "r"), ("s", "score"))])
 
-    # Spark keeps the first rows of each task before the shuffle, so a language sends few to its last task.
-    best = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = short.unionByName(long).withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= kept)
-    return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    # Ranked in parts of each language first, so that its last task sees ``kept`` rows of each part at most.
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    both = short.unionByName(long).withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(RANKED_PARTS)))
+    first = both.withColumn("rank", F.row_number().over(W.partitionBy("lang", "part").orderBy(*order))).filter(F.col("rank") <= kept)
+    last = first.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order)).cast("long"))
+    return last.filter(F.col("rank") <= kept).join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
