@@ -5,34 +5,46 @@ version) with one row per host and port. Both sides of a comparison carry the
 ``scan_id`` of the current scan, so one job can compare any number of scans.
 """
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanfold.functions import port_rules as P
-from scanfold.operators.shuffle import rank_rows, salted_join
+from scanfold.operators import catalogue as C
+from scanfold.operators.shuffle import salted_join
 
 KEYS = ["scan_id", "ip"]
+FORM = ["service", "product", "version"]
+FIRST = [f"first_{c}" for c in FORM]
+#: So many scans are joined by broadcast (one short row each); more by a salted join.
+MOST_BROADCAST_SCANS = 100_000
+
+
+def remember_first(port_obs: DataFrame) -> DataFrame:
+    """Keep what the scan itself found beside what a second pass may put in its place."""
+    return port_obs.withColumns({f"first_{c}": F.col(c) for c in FORM})
+
+
+def as_scanned(port_obs: DataFrame) -> DataFrame:
+    """The ports of ``remember_first`` as the scan found them, without sources and guesses."""
+    dropped = [c for c in ("service_source", "service_guess", "device_guess", "guess_evidence") if c in port_obs.columns]
+    return port_obs.withColumns({c: F.col(f"first_{c}") for c in FORM}).withColumns({
+        c: F.lit(None).cast("string") for c in dropped})
 
 
 def port_profile(port_obs: DataFrame) -> DataFrame:
-    """One row per host and port; of several protocols the last entry wins."""
-    last = F.max_by(F.struct("service", "product", "version"), "pos")
+    """One row per host and port; of several protocols the last entry wins. Columns of
+    ``remember_first`` are kept."""
+    kept = FORM + [c for c in FIRST if c in port_obs.columns]
     return (port_obs.filter(F.col("ip") != "")
-            .groupBy(*KEYS, "port").agg(F.max("hostname").alias("hostname"), last.alias("s"))
+            .groupBy(*KEYS, "port").agg(F.max("hostname").alias("hostname"), F.max_by(F.struct(*kept), "pos").alias("s"))
             .select(*KEYS, "hostname", "port", "s.*"))
 
 
-#: Port of the row that says a host was there, whether or not it had an open port.
-HOST_ROW = -1
-
-
-def with_hosts(profile: DataFrame, hosts: DataFrame) -> DataFrame:
-    """A profile with a row for each host of the host table, so that hosts without ports count."""
-    present = hosts.filter(F.col("ip") != "").groupBy(*KEYS).agg(F.max("hostname").alias("hostname"))
-    text = F.lit("")
-    return profile.unionByName(present.select(
-        *KEYS, "hostname", F.lit(HOST_ROW).cast(profile.schema["port"].dataType).alias("port"), text.alias("service"),
-        text.alias("product"), text.alias("version")))
+def host_presence(hosts: DataFrame) -> DataFrame:
+    """One row per host that was there, with or without an open port."""
+    return hosts.filter(F.col("ip") != "").groupBy(*KEYS).agg(F.max("hostname").alias("hostname"))
 
 
 def baseline_profile(port_obs: DataFrame) -> DataFrame:
@@ -51,27 +63,43 @@ def baseline_hosts(baseline: DataFrame) -> DataFrame:
 
 
 def previous_scans(scans: DataFrame) -> DataFrame:
-    """Each scan with the scan before it, in ``scan_id`` order; null for the first."""
-    ranked = rank_rows(scans.select("scan_id").distinct(), [], ["scan_id"], "n")
-    before = ranked.select((F.col("n") + 1).alias("n"), F.col("scan_id").alias("previous_scan_id"))
-    return ranked.join(before, "n", "left").select("scan_id", "previous_scan_id")
+    """Each scan with the scan before it, by time and then by the id's numbers; null for the first."""
+    return C.previous_scans(scans).select("scan_id", "previous_scan_id")
+
 
+@dataclass
+class Sides:
+    """Both sides of every comparison, each under the scan_id of the current scan."""
 
-def scan_pairs(profile: DataFrame, scans: DataFrame, only: DataFrame | None = None) -> tuple:
-    """Current and baseline sides for every scan that has an earlier scan.
+    current: DataFrame
+    baseline: DataFrame
+    current_hosts: DataFrame
+    baseline_hosts: DataFrame
 
-    ``scans`` lists the scan ids; for a stored table that is its partition list. ``only``: the
-    scans to compare, where the others are there to be compared with.
+
+def scan_sides(profile: DataFrame, hosts: DataFrame, pairs: DataFrame) -> Sides:
+    """The sides of the pairs (``catalogue.pairs_to_compare``) from tables that hold both.
+
+    Where a profile remembers first findings, they are compared unless both scans had a second
+    pass, so a second pass on one side makes no difference.
     """
-    pairs = previous_scans(scans).filter(F.col("previous_scan_id").isNotNull())
-    if only is not None:
-        pairs = pairs.join(only.select("scan_id").distinct(), "scan_id", "left_semi")
-    current = salted_join(profile, pairs.select("scan_id"), ["scan_id"], ["ip", "port"], "inner")
-    following = pairs.select(F.col("previous_scan_id").alias("scan_id"),
-                             F.col("scan_id").alias("next_scan_id"))
-    earlier = salted_join(profile, following, ["scan_id"], ["ip", "port"], "inner")
-    baseline = earlier.withColumn("scan_id", F.col("next_scan_id")).drop("next_scan_id")
-    return current, baseline.select(*current.columns)
+    compared = pairs.select("scan_id", "previous_scan_id", "both_enriched")
+    few = compared.count() <= MOST_BROADCAST_SCANS
+
+    def attach(rows, per_scan, spread):
+        return rows.join(F.broadcast(per_scan), "scan_id") if few else salted_join(rows, per_scan, ["scan_id"], spread, "inner")
+
+    now = compared.select("scan_id", F.col("scan_id").alias("_as"), "both_enriched")
+    before = compared.select(F.col("previous_scan_id").alias("scan_id"), F.col("scan_id").alias("_as"), "both_enriched")
+    form = [F.when(F.col("both_enriched"), F.col(c)).otherwise(F.col(f"first_{c}")).alias(c) if f"first_{c}" in profile.columns
+            else F.col(c) for c in FORM]
+
+    def ports(side):
+        return attach(profile, side, ["ip", "port"]).select(F.col("_as").alias("scan_id"), "ip", "hostname", "port", *form)
+
+    def present(side):
+        return attach(hosts, side, ["ip"]).select(F.col("_as").alias("scan_id"), "ip", "hostname")
+    return Sides(ports(now), ports(before), present(now), present(before))
 
 
 def _hosts(profile: DataFrame) -> DataFrame:
@@ -86,14 +114,15 @@ def gone_hosts(current: DataFrame, baseline: DataFrame) -> DataFrame:
     return new_hosts(baseline, current)
 
 
-def opened_ports(current: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Ports of known hosts that were not open before."""
-    known = current.select(*KEYS, "port").join(_hosts(baseline), KEYS, "left_semi")
+def opened_ports(current: DataFrame, baseline: DataFrame, baseline_hosts: DataFrame | None = None) -> DataFrame:
+    """Ports of known hosts that were not open before. Without a host table, hosts with ports are known."""
+    known = current.select(*KEYS, "port").join(
+        _hosts(baseline if baseline_hosts is None else baseline_hosts), KEYS, "left_semi")
     return known.join(baseline.select(*KEYS, "port"), [*KEYS, "port"], "left_anti")
 
 
-def closed_ports(current: DataFrame, baseline: DataFrame) -> DataFrame:
-    return opened_ports(baseline, current)
+def closed_ports(current: DataFrame, baseline: DataFrame, current_hosts: DataFrame | None = None) -> DataFrame:
+    return opened_ports(baseline, current, current_hosts)
 
 
 def version_changes(current: DataFrame, baseline: DataFrame) -> DataFrame:
@@ -116,11 +145,12 @@ def port_set_difference(current: DataFrame, baseline: DataFrame) -> DataFrame:
         F.array_sort(F.array_except("then", "now")).alias("closed"))
 
 
-def host_diff(current: DataFrame, baseline: DataFrame) -> DataFrame:
+def host_diff(current: DataFrame, baseline: DataFrame, current_hosts: DataFrame | None = None,
+              baseline_hosts: DataFrame | None = None) -> DataFrame:
     """All changes of one comparison: one row per host, one full outer join on the port.
-    Host rows (``with_hosts``) count for a host's presence and are no ports.
 
-    The arrays of a host hold at most its ports.
+    A host is there when its side's host table lists it or it has an open port. The arrays of a
+    host hold at most its ports.
     """
     def text(side):
         return F.expr(P.product_version_sql(f"{side}."))
@@ -134,19 +164,30 @@ def host_diff(current: DataFrame, baseline: DataFrame) -> DataFrame:
     change = F.when(changed, F.struct(
         "port", F.col("c.service").alias("service"), text("b").alias("from_version"),
         text("c").alias("to_version")))
-    is_port = F.col("port") != HOST_ROW
     grouped = both.groupBy(*KEYS).agg(
-        F.count("c").alias("current_ports"), F.count("b").alias("baseline_ports"),
-        F.array_sort(F.collect_list(F.when(F.col("b").isNull() & is_port, F.col("port")))).alias("added"),
-        F.array_sort(F.collect_list(F.when(F.col("c").isNull() & is_port, F.col("port")))).alias("removed"),
+        (F.count("c") > 0).alias("now"), (F.count("b") > 0).alias("before"),
+        F.array_sort(F.collect_list(F.when(F.col("b").isNull(), F.col("port")))).alias("added"),
+        F.array_sort(F.collect_list(F.when(F.col("c").isNull(), F.col("port")))).alias("removed"),
         F.array_sort(F.collect_list(change)).alias("version_changes"))
-    known = (F.col("current_ports") > 0) & (F.col("baseline_ports") > 0)
+    if current_hosts is not None and baseline_hosts is not None:
+        seen = current_hosts.select(*KEYS, F.lit(True).alias("_now"), F.lit(False).alias("_before")).unionByName(
+            baseline_hosts.select(*KEYS, F.lit(False).alias("_now"), F.lit(True).alias("_before")))
+        seen = seen.groupBy(*KEYS).agg(F.bool_or("_now").alias("_now"), F.bool_or("_before").alias("_before"))
+        grouped = grouped.join(seen, KEYS, "full_outer").withColumns({
+            name: F.coalesce(name, F.lit(False)) | F.coalesce(f"_{name}", F.lit(False)) for name in ("now", "before")})
+        grouped = grouped.withColumn("version_changes", F.coalesce("version_changes", F.expr(
+            "cast(array() AS array<struct<port:int,service:string,from_version:string,to_version:string>>)")))
+    known = F.col("now") & F.col("before")
     none = F.lit([]).cast("array<int>")
     return grouped.select(
-        *KEYS, (F.col("baseline_ports") == 0).alias("is_new_host"),
-        (F.col("current_ports") == 0).alias("is_gone_host"),
-        F.when(known, F.col("added")).otherwise(none).alias("opened"),
-        F.when(known, F.col("removed")).otherwise(none).alias("closed"), "version_changes")
+        *KEYS, (~F.col("before")).alias("is_new_host"), (~F.col("now")).alias("is_gone_host"),
+        F.when(known, F.coalesce("added", none)).otherwise(none).alias("opened"),
+        F.when(known, F.coalesce("removed", none)).otherwise(none).alias("closed"), "version_changes")
+
+
+def compare(sides: Sides) -> DataFrame:
+    """``host_diff`` of the sides."""
+    return host_diff(sides.current, sides.baseline, sides.current_hosts, sides.baseline_hosts)
 
 
 def baseline_changes(diff: DataFrame) -> DataFrame:

@@ -1,9 +1,15 @@
 """Observation log, deduplication, scan cache and history."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scanfold.operators.shuffle import earliest, latest
+from scanfold.schemas import HOST, PORT
+
+#: The parts of a port that a record's signature and features use.
+SLIM_PORT = ("protocol", "port", "service", "product", "version", "tunnel", "scripts")
 
 
 def signature(open_ports: str = "open_ports") -> Column:
@@ -25,9 +31,8 @@ def dedupe_records(records: DataFrame, order: str) -> DataFrame:
 
 def slim_records(records: DataFrame) -> DataFrame:
     """Only the parts of a record that its signature and features use."""
-    names = ("protocol", "port", "service", "product", "version", "tunnel", "scripts")
     return records.select("scan_id", "ip", "hostname", F.transform("open_ports", lambda p: F.struct(
-        *[p[n].alias(n) for n in names])).alias("open_ports"))
+        *[p[n].alias(n) for n in SLIM_PORT])).alias("open_ports"))
 
 
 def union_learned(current: DataFrame, learned: DataFrame) -> DataFrame:
@@ -48,6 +53,57 @@ def learned_memory(log: DataFrame, tie: str) -> DataFrame:
         "signature", "first_seen", "last_seen", "seen_count", "r.*")
 
 
+RECORD = T.StructType([HOST.fields[0], HOST.fields[1], HOST.fields[2], T.StructField("open_ports", T.ArrayType(T.StructType(
+    [f for f in PORT.fields if f.name in SLIM_PORT])))])
+MEMORY = T.StructType([
+    T.StructField("signature", T.StringType()), T.StructField("first_seen", T.TimestampType()),
+    T.StructField("last_seen", T.TimestampType()), T.StructField("seen_count", T.LongType()),
+    T.StructField("source", T.StringType()), T.StructField("record", RECORD)])
+
+
+def observations(records: DataFrame, seen_at: Column, source: str) -> DataFrame:
+    """One log row per signature of a run: how often it was seen, and its record."""
+    signed = with_signature(slim_records(records))
+    return signed.groupBy("signature").agg(
+        F.count("*").alias("seen_count"), F.max_by(F.struct("scan_id", "ip", "hostname", "open_ports"), "scan_id").alias("record")).select(
+        "signature", seen_at.alias("first_seen"), seen_at.alias("last_seen"), "seen_count", F.lit(source).alias("source"), "record")
+
+
+def merge_observations(log: DataFrame) -> DataFrame:
+    """State per signature of log rows and earlier states: first and last sighting, count, latest source and record."""
+    newest = F.max_by(F.struct("source", "record"), F.struct("last_seen", "record.scan_id"))
+    return log.groupBy("signature").agg(
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
+        F.sum("seen_count").alias("seen_count"), newest.alias("r")).select(
+        "signature", "first_seen", "last_seen", "seen_count", "r.*")
+
+
+def _versions(spark: SparkSession, path: str) -> list:
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "_SUCCESS").load(
+        f"{path}/folded").select(F.regexp_extract("path", r"/version=(\d+)/_SUCCESS$", 1).cast("int").alias("v"))
+    return [r.v for r in found.distinct().collect() if r.v is not None]
+
+
+def state_version(spark: SparkSession, path: str) -> int:
+    """The newest complete state of a memory, 0 if none."""
+    try:
+        return max(_versions(spark, path), default=0)
+    except AnalysisException:
+        return 0
+
+
+def read_memory(spark: SparkSession, path: str) -> DataFrame:
+    """The memory's state: the newest folded states and the log rows of all runs since."""
+    schema = T.StructType([*MEMORY.fields, T.StructField("run_id", T.StringType())])
+    log = spark.read.schema(schema).parquet(f"{path}/log")
+    version = state_version(spark, path)
+    if not version:
+        return merge_observations(log.drop("run_id"))
+    folded = spark.read.parquet(f"{path}/folded/version={version}").select("run_id")
+    states = spark.read.schema(MEMORY).parquet(f"{path}/states/version={version}")
+    return merge_observations(states.unionByName(log.join(folded, "run_id", "left_anti").drop("run_id")))
+
+
 def cache_key(version: Column, mode: Column, target: Column) -> Column:
     return F.sha2(F.concat_ws("|", version, mode, target), 256)
 

@@ -18,6 +18,12 @@ from scanfold.values import rules as R
 LABELS = ["normal", "suspicious"]
 
 
+#: One row per candidate; a failed one has an error and no numbers.
+METRICS_SCHEMA = ("model_name string, is_best boolean, error string, rows long, true_normal long, false_suspicious long, "
+                  "false_normal long, true_suspicious long, accuracy double, precision_suspicious double, "
+                  "recall_suspicious double, f1_suspicious double, precision_normal double, recall_normal double, f1_normal double")
+
+
 @dataclass
 class ModelBundle:
     """Trained classifier, its metrics per candidate, and the anomaly forest."""
@@ -109,13 +115,14 @@ def train_models(training: DataFrame, with_forest: bool = True) -> tuple:
             except Exception as error:  # one failing candidate must not stop the others
                 errors[name] = str(error)
                 continue
-            reports.append({**row.asDict()})
+            reports.append(row.asDict())
             if best is None or row.f1_suspicious > best[2]:
                 best = (name, fitted, row.f1_suspicious)
         if best is None:
             return None, R.NOTE_ALL_FAILED
         spark = training.sparkSession
-        metrics = spark.createDataFrame([{**r, "is_best": r["model_name"] == best[0]} for r in reports])
+        failed = [{"model_name": name, "error": text} for name, text in errors.items()]
+        metrics = spark.createDataFrame([{**r, "is_best": r["model_name"] == best[0]} for r in reports + failed], METRICS_SCHEMA)
         nodes = forest.fit_forest(training) if with_forest else None
         return ModelBundle(best[0], best[1], names, metrics, nodes, errors), None
     finally:

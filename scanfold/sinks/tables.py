@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from scanfold.operators import hosts as HO
 from scanfold.operators import memory as M
 from scanfold.operators import ports as PO
-from scanfold.operators.baseline import port_profile, with_hosts
+from scanfold.operators.baseline import FORM, host_presence, port_profile, remember_first
 
 
 def write_predictions(predictions: DataFrame, path: str, fmt: str = "csv") -> None:
@@ -30,27 +30,53 @@ def write_training(training: DataFrame, full_path: str, readable_path: str) -> N
         "escape", '"').csv(readable_path)
 
 
-def append_history(rows: DataFrame, path: str) -> bool:
-    """Append labelled feature rows by run date; nothing is written without rows."""
+def _by_run(rows: DataFrame, path: str, run_id: str | None, *parts: str) -> None:
+    """Append rows; under a run id they replace what the same run wrote before."""
+    if run_id is None:
+        writer = rows.write.mode("append")
+        (writer.partitionBy(*parts) if parts else writer).parquet(path)
+    else:
+        (rows.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(*parts, "run_id").parquet(path))
+
+
+def append_history(rows: DataFrame, path: str, run_id: str | None = None) -> bool:
+    """Append labelled feature rows by run date; nothing is written without rows. Runs with an id
+    and without one belong into different tables."""
     if rows.isEmpty():
         return False
-    rows.write.mode("append").partitionBy("run_date").parquet(path)
+    _by_run(rows, path, run_id, "run_date")
     return True
 
 
-def write_baseline(port_obs: DataFrame, path: str, hosts: DataFrame | None = None) -> None:
-    """Keep the profile of every scan; rewriting a scan replaces only that scan. With the host
-    table, hosts without open ports are kept too."""
-    profile = port_profile(port_obs)
-    if hosts is not None:
-        profile = with_hosts(profile, hosts)
-    (profile.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("scan_id").parquet(path))
+def _by_scan(rows: DataFrame, path: str) -> None:
+    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scan_id").parquet(path))
+
+
+def write_baseline(port_obs: DataFrame, path: str) -> None:
+    """Keep the profile of every scan; rewriting a scan replaces only that scan. What the scan
+    itself found is kept beside what a second pass put in its place (``remember_first``)."""
+    _by_scan(port_profile(port_obs if f"first_{FORM[0]}" in port_obs.columns else remember_first(port_obs)), path)
+
+
+def write_baseline_hosts(hosts: DataFrame, path: str) -> None:
+    """Keep the hosts of every scan, those without open ports too."""
+    _by_scan(host_presence(hosts), path)
+
 
+def append_catalogue(scans: DataFrame, path: str) -> None:
+    """Record scans; to be done last, since a scan counts as stored once it is listed."""
+    scans.coalesce(1).write.mode("append").parquet(path)
 
-def append_snapshot(records: DataFrame, path: str) -> None:
+
+def append_snapshot(records: DataFrame, path: str, run_id: str | None = None) -> None:
     """Append-only run snapshots; the latest one is a view over the table."""
-    records.write.mode("append").partitionBy("run_date").parquet(path)
+    _by_run(records, path, run_id, "run_date")
+
+
+def write_run(summary: DataFrame, path: str, run_id: str) -> None:
+    """One row on what a run was and did."""
+    _by_run(summary.coalesce(1), path, run_id)
 
 
 def write_json(rows: DataFrame, path: str) -> None:
@@ -58,15 +84,29 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
-def append_scan_cache(snapshots: DataFrame, path: str) -> None:
+def append_scan_cache(snapshots: DataFrame, path: str, run_id: str | None = None) -> None:
     """Append a scan under its cache key; the latest row per key counts."""
     keyed = snapshots.withColumn("cache_key", M.cache_key(
         F.col("profile_version"), F.col("mode"), F.col("target")))
-    keyed.write.mode("append").parquet(path)
+    _by_run(keyed, path, run_id)
+
+
+def append_memory(records: DataFrame, path: str, run_id: str, seen_at, source: str) -> None:
+    """Add a run's records to the observation log; a run that is repeated replaces its own rows."""
+    _by_run(M.observations(records, seen_at, source), f"{path}/log", run_id)
+
+
+def compact_memory(spark, path: str) -> None:
+    """Fold the log's runs into one row per signature. The list of folded runs is written last and
+    makes the state count; until then the one before does."""
+    runs = spark.read.schema("run_id string").parquet(f"{path}/log").distinct()
+    version = M.state_version(spark, path) + 1
+    M.read_memory(spark, path).write.mode("overwrite").parquet(f"{path}/states/version={version}")
+    runs.coalesce(1).write.mode("overwrite").parquet(f"{path}/folded/version={version}")
 
 
 def write_metrics(metrics: DataFrame, note: str | None, path: str, spark=None) -> None:
-    """Metrics per model, or the note that says why there are none."""
+    """Metrics per model, a failed one with its error; or the note that says why there are none."""
     rows = metrics if note is None else spark.createDataFrame([(note,)], "note string")
     rows.write.mode("overwrite").json(path)
 

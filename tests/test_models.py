@@ -4,8 +4,10 @@ import math
 
 from pyspark.sql import functions as F
 
+from scanfold.operators import enrichment as EN
 from scanfold.operators import features as FE
 from scanfold.operators import forest
+from scanfold.operators import memory as M
 from scanfold.operators import models as MO
 from scanfold.operators import ports as PO
 from scanfold.operators import training as TR
@@ -89,6 +91,15 @@ def test_full_job(spark, cafe, tmp_path):
     assert spark.read.parquet(f"{out}/baseline").count() == 149
     assert spark.read.parquet(f"{out}/diff").count() == 0
     assert spark.read.parquet(f"{out}/history").count() == 60
+    assert spark.read.parquet(f"{out}/baseline_hosts").count() == 60
+    assert spark.read.parquet(f"{out}/catalogue").first().ports == 149
+    assert spark.read.parquet(f"{out}/scan_cache").first().host_count == 60
+    run = spark.read.parquet(f"{out}/runs").first()
+    asked = EN.enrichment_totals(PO.explode_ports(cafe)).first()
+    assert (run.host_count, run.training_note, run.ran_second_pass) == (60, "", False)
+    assert (run.unknown_hosts, run.unknown_ports) == (asked.unknown_hosts, asked.unknown_ports) and asked.unknown_hosts > 0
+    known = M.read_memory(spark, f"{out}/memory")
+    assert known.count() == 60 and {r.seen_count for r in known.collect()} == {1}
     lines = [r.value for r in spark.read.text(f"{out}/report/*").collect()]
     assert "Total Hosts Scanned: 60" in lines
 
@@ -105,3 +116,37 @@ def test_training_skipped_still_saves_the_baseline(spark, cafe, tmp_path):
     predictions, note = jobs.full_job(calm, out, "2024-01-31 12:00:00")
     assert predictions is None and note == R.NOTE_ONE_CLASS
     assert spark.read.parquet(f"{out}/baseline").count() == PO.explode_ports(calm).count()
+
+
+def test_repeated_run_replaces_its_rows(spark, cafe, tmp_path):
+    out = str(tmp_path / "again")
+    calm = cafe.filter("ip IN ('10.10.0.1', '10.10.0.2')")
+    for _ in range(2):
+        jobs.full_job(calm, out, "2024-01-31 12:00:00")
+    counts = [spark.read.parquet(f"{out}/{name}").count() for name in ("history", "snapshots", "runs", "scan_cache", "baseline_hosts")]
+    assert counts == [2, 2, 1, 1, 2]
+    assert {r.seen_count for r in M.read_memory(spark, f"{out}/memory").collect()} == {1}
+    jobs.full_job(calm, out, "2024-02-01 12:00:00")
+    assert {r.seen_count for r in M.read_memory(spark, f"{out}/memory").collect()} == {2}
+
+
+def test_failed_candidates_are_reported(spark, cafe, tmp_path, monkeypatch):
+    training = TR.build_training(FE.record_features(cafe))
+
+    def fit(model, train, own=MO.fit_candidate):
+        if "Logistic" in type(model).__name__:
+            raise ValueError("no solver")
+        return own(model, train)
+    monkeypatch.setattr(MO, "fit_candidate", fit)
+    bundle, note = jobs.train_job(training, str(tmp_path / "train"))
+    told = {r.model_name: r.error for r in spark.read.json(str(tmp_path / "train" / "metrics")).collect()}
+    assert note is None and bundle.model_name == "decision_tree" and "no solver" in told["logistic_regression"]
+    assert bundle.metrics.filter("error IS NOT NULL").count() == 1
+
+
+def test_fixture_job_writes_its_reports(spark, synthetic, tmp_path):
+    out = str(tmp_path / "fixture")
+    assert jobs.fixture_train_job(synthetic, out, "2024-01-31 12:00:00").count() == 20
+    assert spark.read.parquet(f"{out}/port_details").count() == PO.explode_ports(synthetic).count()
+    assert spark.read.text(f"{out}/scan_report").count() > 20 and spark.read.json(f"{out}/records").count() == 20
+    assert "Total Hosts Scanned: 20" in [r.value for r in spark.read.text(f"{out}/report").collect()]

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from scanfold.operators import baseline as B
+from scanfold.operators import catalogue as C
 from scanfold.operators import enrichment as E
 from scanfold.operators import features as FE
 from scanfold.operators import hosts as HO
@@ -59,9 +60,21 @@ def test_diff_kinds(spark):
 
 
 def test_first_scan_has_no_changes(spark, cafe):
-    p = B.port_profile(PO.explode_ports(cafe))
-    current, earlier = B.scan_pairs(p, p)
-    assert current.count() == 0 and earlier.count() == 0
+    pairs = C.pairs_to_compare(C.describe(cafe, PO.explode_ports(cafe), None, F.lit("2024-01-01")), None)
+    sides = B.scan_sides(B.port_profile(PO.explode_ports(cafe)), B.host_presence(cafe), pairs)
+    assert pairs.count() == 0 and B.compare(sides).count() == 0
+
+
+def test_hosts_without_ports_are_there(spark):
+    ports = profile(spark, [("s", "a", "", 22, "ssh", "P", "1")])
+    nobody = ports.filter("false")
+    hosts = spark.createDataFrame([("s", "a", ""), ("s", "b", "")], "scan_id string, ip string, hostname string")
+    diff = B.host_diff(ports, nobody, hosts, hosts)
+    assert {(r.ip, r.change_type, r.port) for r in B.baseline_changes(diff).collect()} == {("a", "opened_port", 22)}
+    assert {r.ip for r in diff.collect()} == {"a", "b"}
+    lost = B.host_diff(nobody, ports, hosts.filter("ip = 'b'"), hosts)
+    assert {(r.ip, r.change_type, r.port) for r in B.baseline_changes(lost).collect()} == {("a", "gone_host", None)}
+    assert B.opened_ports(ports, nobody, hosts).count() == 1 and B.opened_ports(ports, nobody).count() == 0
 
 
 def test_last_protocol_wins(spark):
