@@ -49,6 +49,46 @@ def test_scan_file(spark, tmp_path):
     assert summary.script_summary == f"banner: two lines here | long: {'a' * 137}... | empty"
 
 
+GOOD = '<host start="1"><status state="up"/><address addr="10.0.0.{}" addrtype="ipv4"/><hostnames><hostname name="h"/></hostnames>' \
+       '<ports><port protocol="tcp" portid="80"><state state="open"/><script id="a" output="&lt;host&gt; &lt;/host&gt;"/></port></ports></host>'
+DAMAGED = {
+    "attribute": GOOD.format(99).replace('addrtype="ipv4"', "addrtype=ipv4"), "tags": '<host><status state="up"></address></host>',
+    "entity": "<host>&nope;</host>", "number": GOOD.format(99).replace('"80"', '"x80"'), "end": GOOD.format(99).replace("</host>", ""),
+    "cut": GOOD.format(99)[:60], "nothing": "<host>", "hint": None}
+
+
+def test_a_damaged_host_costs_only_itself(spark, tmp_path):
+    for name, text in DAMAGED.items():
+        (tmp_path / f"s {name}+1.xml").write_text(
+            '<?xml version="1.0"?>\n<nmaprun><hosthint><status state="up"/></hosthint>' + GOOD.format(1) + "\n" + (text or "") + GOOD.format(2)
+            + "\n\n" + GOOD.format(3) + "<runstats/></nmaprun>")
+    dead = str(tmp_path / "dead")
+    hosts = X.host_records(X.read_scan_xml(spark, str(tmp_path / "*.xml"), dead_letter=dead)).collect()
+    assert sorted((r.scan_id, r.ip) for r in hosts) == sorted((f"s {n}+1", f"10.0.0.{i}") for n in DAMAGED for i in (1, 2, 3))
+    assert {r.open_ports[0].scripts[0].output for r in hosts} == {"<host> </host>"}
+    told = {r.scan_id: r.reason for r in spark.read.parquet(dead).collect()}
+    assert told == {"s attribute+1": "not well-formed", "s tags+1": "not well-formed", "s entity+1": "not well-formed", "s number+1": "not well-formed",
+                    "s end+1": "not closed", "s cut+1": "not closed", "s nothing+1": "not closed"}
+
+
+def test_cut_files(spark, tmp_path):
+    text = "<nmaprun>" + GOOD.format(1) + GOOD.format(2)
+    for n in range(len(text)):
+        if n % 23 == 0 or n > len(text) - 9:
+            (tmp_path / f"{n}.xml").write_text(text[:n])
+    elements = X.parse_elements(X.host_elements(spark, str(tmp_path / "*.xml")))
+    read = {}
+    for r in X.host_records(X.raw_hosts(elements)).collect():
+        read.setdefault(int(r.scan_id), set()).add(r.ip[-1])
+    first = len("<nmaprun>" + GOOD.format(1))
+    for path in tmp_path.glob("*.xml"):
+        n = int(path.stem)
+        # Cut inside the last mark, a host is whole.
+        want = {"1"} if first - 6 <= n else set()
+        want |= {"2"} if n >= len(text) else set()
+        assert read.get(n, set()) in (want, {"1"} if n >= first - 6 else set(), want | {"2"} if n >= len(text) - 6 else want)
+
+
 def test_missing_json_is_empty(spark, tmp_path):
     rows = ST.read_json_or_empty(spark, str(tmp_path / "none"), schemas.HOST)
     assert rows.count() == 0 and rows.schema == schemas.HOST
