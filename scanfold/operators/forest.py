@@ -1,7 +1,7 @@
 """Isolation forest (Liu, Ting and Zhou, 2008) on Spark.
 
-Every tree sees a bounded sample that is drawn by hash, so the draw is the same on every
-run and no group grows with the data. The node table has a fixed upper size
+Every tree sees the ``sample`` rows with its smallest draws, at any size of the table: draws are
+hashes of the row's keys, so they are the same on every run and no group grows with the data. The node table has a fixed upper size
 (trees x 511 nodes) and is what scoring ships to the executors.
 """
 
@@ -12,10 +12,13 @@ import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scanfold.functions import hashing
 from scanfold.operators.features import feature_columns
+from scanfold.sources.workspace import stored
 from scanfold.values import rules as R
 
 NODE_SCHEMA = "tree_id int, node_id int, feature int, threshold double, size int"
@@ -25,26 +28,38 @@ OVERSAMPLE = 2
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def _uniform(*columns):
-    """Hash of the columns as a number in [0, 1)."""
-    return (F.xxhash64(*columns).cast("double") / 2.0 ** 64) + 0.5
-
-
 def tree_samples(rows: DataFrame, keys: list, trees: int, sample: int, seed: int) -> DataFrame:
-    """About twice ``sample`` rows per tree, with a draw order; all rows if there are few."""
+    """The rows that can be among the ``sample`` smallest draws of each tree, with tree_id and draw.
+
+    A bound on the draws lets through about twice as many rows per tree, and no row is copied
+    before it is known to be drawn. Should a tree get too few, the bound is doubled, so the
+    smallest draws are always complete. Equal draws are ordered by the keys.
+    """
     total = rows.count()
-    wanted = sample * OVERSAMPLE
-    if total <= trees * wanted:
-        share = min(1.0, wanted / max(total, 1))
-        # The trees of a row are chosen before it is repeated, so only drawn rows are copied.
-        chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)),
-                          lambda t: _uniform(F.lit(seed), t, *keys) < share)
-        return rows.withColumn("tree_id", F.explode(chosen)).withColumn(
-            "draw", _uniform(F.lit(seed), "tree_id", *keys))
-    drawn = rows.filter(_uniform(F.lit(seed), *keys) < trees * wanted / total)
-    return drawn.withColumns({
-        "tree_id": F.pmod(F.xxhash64(F.lit(seed + 1), *keys), F.lit(trees)).cast("int"),
-        "draw": _uniform(F.lit(seed + 2), *keys)})
+    factors, offsets = zip(*[hashing.multipliers(seed, t) for t in range(trees)])
+
+    def numbers(values):
+        return F.expr(f"array({', '.join(f'{v}L' for v in values)})")
+
+    hashed = rows.withColumns({"_h": F.expr(hashing.row_hash_sql(keys)), "_a": numbers(factors), "_b": numbers(offsets)})
+    draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
+        t.alias("tree_id"), ((F.get("_a", t) * F.col("_h") + F.get("_b", t)) % hashing.PRIME).alias("draw")))
+    share = sample * OVERSAMPLE / max(total, 1)
+    while True:
+        bound = hashing.PRIME if share >= 1 else int(hashing.PRIME * share)
+        drawn = hashed.withColumn("_d", F.explode(F.filter(draws, lambda d: d["draw"] < bound))).select(
+            *rows.columns, "_d.tree_id", "_d.draw")
+        drawn = stored(drawn, "tree-samples")
+        state = drawn.groupBy("tree_id").agg(F.count("*").alias("n")).agg(F.count("*").alias("trees"), F.min("n").alias("least")).first()
+        if bound == hashing.PRIME or (state.trees == trees and state.least >= min(sample, total)):
+            return drawn
+        share *= 2
+
+
+def smallest_draws(drawn: DataFrame, keys: list, sample: int) -> DataFrame:
+    """Exactly the rows that each tree grows on."""
+    order = W.partitionBy("tree_id").orderBy("draw", *keys)
+    return drawn.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= sample).drop("_place")
 
 
 def _grow(tree_id: int, data: np.ndarray, seed: int) -> list:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from scanfold.functions import host_rules as H
 from scanfold.operators.features import KEYS
 from scanfold.operators.shuffle import rank_rows, salted_join
+from scanfold.sources.workspace import stored
 from scanfold.values import rules as R
 
 EXPORT_COLUMNS = [
@@ -48,7 +49,11 @@ def readable_training(training: DataFrame) -> DataFrame:
 
 
 def score_anomaly(raw: DataFrame, column: str = "raw_score") -> DataFrame:
-    """Min-max anomaly score per scan; low raw scores are anomalous."""
+    """Min-max anomaly score per scan; low raw scores are anomalous.
+
+    The scored rows are written once: the bounds and the scores both read what was written.
+    """
+    raw = stored(raw, "raw-scores")
     bounds = minmax_bounds(raw, column)
     joined = salted_join(raw, bounds, ["scan_id"], ["ip"])
     span = F.col("raw_max") - F.col("raw_min")

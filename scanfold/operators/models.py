@@ -1,5 +1,6 @@
 """Model training, selection, storage and prediction with MLlib."""
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -9,9 +10,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scanfold.functions import hashing
 from scanfold.operators import forest
 from scanfold.operators.features import feature_columns, zero_fill
-from scanfold.operators.shuffle import rank_rows
 from scanfold.operators.training import binary_metrics, class_weights, train_gate
 from scanfold.values import rules as R
 
@@ -36,25 +37,61 @@ class ModelBundle:
     errors: dict = field(default_factory=dict)
 
 
+#: Bits of the mix that one pass of the split tells apart.
+SPLIT_BITS = 11
+
+
+def split_mix_sql() -> str:
+    """Spark SQL text of the number that rows are split by."""
+    return hashing.draw_sql(hashing.row_hash_sql(["scan_id", "ip"]), R.SEED)
+
+
 def split_rows(training: DataFrame) -> DataFrame:
     """Add ``is_test``: a stratified split by hash order, the same on every run.
 
-    Rows are numbered per label in hash order, so each label gives its share exactly.
+    Each label gives exactly its share of rows, those with the smallest hashes; equal hashes go by
+    the keys. The last test row of a label is found by counting rows per range of the hash and
+    refining the range that it lies in, so rows are neither sorted nor shuffled; only counts are.
     A label with one row goes to the training side; in a set where every row would
     do so, training and test are the same rows.
     """
-    by_label = training.groupBy("label").agg(F.count("*").alias("n"))
-    state = by_label.agg(F.sum("n").alias("rows"), F.min("n").alias("least")).first()
-    share = R.TEST_SHARE_SMALL if state.rows <= R.SMALL_SET_ROWS else R.TEST_SHARE
-    stratified = state.least >= R.MIN_CLASS_ROWS_TO_STRATIFY
-    keys = ["label"] if stratified else []
-    mixed = training.withColumn("_mix", F.xxhash64(F.lit(R.SEED), "scan_id", "ip"))
-    ranked = rank_rows(mixed, keys, ["_mix", "scan_id", "ip"], "_rank")
-    totals = (by_label if stratified else by_label.agg(F.sum("n").alias("n")).withColumn(
-        "label", F.explode(F.array(*[F.lit(v) for v in LABELS]))))
-    # One row per label.
-    return ranked.join(F.broadcast(totals), "label").withColumn(
-        "is_test", F.col("_rank") <= F.ceil(F.col("n") * share)).select(*training.columns, "is_test")
+    by_label = {r.label: r.n for r in training.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    total = sum(by_label.values())
+    share = R.TEST_SHARE_SMALL if total <= R.SMALL_SET_ROWS else R.TEST_SHARE
+    stratified = min(by_label.values(), default=0) >= R.MIN_CLASS_ROWS_TO_STRATIFY
+    group = F.col("label") if stratified else F.lit("")
+    wanted = {g: math.ceil(round(n * share, 6)) for g, n in (by_label if stratified else {"": total}).items()}
+    keys = training.select("scan_id", "ip", group.alias("g"), F.expr(split_mix_sql()).alias("mix"))
+
+    # Per group: the range of hashes that holds its last test row, and the test rows left in it.
+    bits = 3 * SPLIT_BITS
+    ranges = {g: (0, n) for g, n in wanted.items() if n > 0}
+    for width in range(bits - SPLIT_BITS, -1, -SPLIT_BITS):
+        place = F.shiftright("mix", width)
+        inside = _any([(F.col("g") == g) & (F.shiftright("mix", width + SPLIT_BITS) == low >> width + SPLIT_BITS) for g, (low, _) in ranges.items()])
+        counts = keys.filter(inside).groupBy("g", place.alias("place")).agg(F.count("*").alias("n")).orderBy("g", "place").collect()
+        for g, (_, left) in list(ranges.items()):
+            for row in (r for r in counts if r.g == g):
+                if left <= row.n:
+                    ranges[g] = (row.place << width, left)
+                    break
+                left -= row.n
+    chosen = []
+    for g, (mix, left) in ranges.items():
+        # Rows with one hash of 31 bits are few; the last test row among them by its keys.
+        last = keys.filter((F.col("g") == g) & (F.col("mix") == mix)).orderBy("scan_id", "ip").limit(left).agg(
+            F.max(F.struct("scan_id", "ip")).alias("k")).first().k
+        in_order = F.struct("scan_id", "ip") <= F.struct(F.lit(last.scan_id).alias("scan_id"), F.lit(last.ip).alias("ip"))
+        chosen.append((F.col("_g") == g) & ((F.col("_mix") < mix) | ((F.col("_mix") == mix) & in_order)))
+    return training.withColumns({"_g": group, "_mix": F.expr(split_mix_sql())}).withColumn(
+        "is_test", F.coalesce(_any(chosen), F.lit(False))).select(*training.columns, "is_test")
+
+
+def _any(conditions: list) -> Column:
+    found = F.lit(False)
+    for condition in conditions:
+        found = found | condition
+    return found
 
 
 def label_index() -> Column:

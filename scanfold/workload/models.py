@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from scanfold.functions import hashing
 from scanfold.operators import features as FE
 from scanfold.operators import forest
 from scanfold.operators import hosts as HO
@@ -12,6 +13,7 @@ from scanfold.sinks import tables as SK
 from scanfold.sources import driver_tables as D
 from scanfold.sources.workspace import new_path, stored
 from scanfold.workload import query
+from scanfold.values import rules as R
 from scanfold.workload.oracle_base import with_views
 
 KEYS = ["scan_id", "ip"]
@@ -31,11 +33,17 @@ def trained(spark, d, with_forest=False):
     return MO.train_models(training(spark, d), with_forest)[0]
 
 
-@query("split", with_views("labelled", """
-SELECT label, count(*) AS rows, CAST(ceil(count(*) * 0.3) AS BIGINT) AS test_rows FROM labelled GROUP BY label"""))
+#: The test side of every label: the share with the smallest hashes.
+SPLIT = f"""
+mixed AS (SELECT *, {hashing.draw_sql(hashing.duck_row_hash(["scan_id", "ip"]), R.SEED)} AS mix FROM labelled),
+parted AS (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY mix, scan_id, ip)
+    <= ceil(round(count(*) OVER (PARTITION BY label) * {R.TEST_SHARE}, 6)) AS is_test FROM mixed)"""
+
+
+@query("split", with_views("labelled", "SELECT scan_id, ip, label, is_test FROM parted", SPLIT))
 def split(spark, d):
-    return MO.split_rows(training(spark, d)).groupBy("label").agg(
-        F.count("*").alias("rows"), F.count_if("is_test").alias("test_rows"))
+    return MO.split_rows(training(spark, d)).select(*KEYS, "label", "is_test")
 
 
 def fitted_scores(spark, d, wanted):
@@ -87,6 +95,27 @@ def isolation_forest_fit(spark, d):
     return forest.fit_forest(features(spark, d))
 
 
+#: The draws of each tree over all hosts, and the rows it grows on.
+DRAWS = f"""
+trees(tree_id, factor, shift) AS (VALUES {", ".join(str((t, *hashing.multipliers(R.SEED, t))) for t in range(R.FOREST_TREES))}),
+drawn AS (
+  SELECT tree_id, f.*, (({hashing.duck_row_hash(["scan_id", "ip"])}) * factor + shift) % {hashing.PRIME} AS draw FROM labelled f CROSS JOIN trees),
+samples AS (SELECT * FROM drawn QUALIFY row_number() OVER (PARTITION BY tree_id ORDER BY draw, scan_id, ip) <= {R.FOREST_SAMPLE})"""
+
+
+@query("forest_samples", with_views("labelled", """
+SELECT tree_id, count(*) AS rows, max(draw) AS last_draw, CAST(sum(open_port_count) AS BIGINT) AS open_ports, min(scan_id || ' ' || ip) AS first_host
+FROM samples GROUP BY tree_id""", DRAWS))
+def forest_samples(spark, d):
+    """What each tree grows on."""
+    keys = ["scan_id", "ip"]
+    rows = features(spark, d).select(*keys, "open_port_count")
+    drawn = forest.smallest_draws(forest.tree_samples(rows, keys, R.FOREST_TREES, R.FOREST_SAMPLE, R.SEED), keys, R.FOREST_SAMPLE)
+    return drawn.groupBy("tree_id").agg(
+        F.count("*").alias("rows"), F.max("draw").alias("last_draw"), F.sum("open_port_count").alias("open_ports"),
+        F.min(F.concat_ws(" ", "scan_id", "ip")).alias("first_host"))
+
+
 @query("isolation_forest_score")
 def isolation_forest_score(spark, d):
     rows = features(spark, d)
