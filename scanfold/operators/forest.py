@@ -5,6 +5,7 @@ hashes of the row's keys, so they are the same on every run and no group grows w
 (trees x 511 nodes) and is what scoring ships to the executors.
 """
 
+import hashlib
 import math
 import sys
 
@@ -62,9 +63,17 @@ def smallest_draws(drawn: DataFrame, keys: list, sample: int) -> DataFrame:
     return drawn.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= sample).drop("_place")
 
 
+def _share(seed: int, tree_id: int, node: int, part: str) -> float:
+    """A number in [0, 1) by rule: the first 32 bits of an MD5 of the node's place."""
+    return int(hashlib.md5(f"{seed}|{tree_id}|{node}|{part}".encode()).hexdigest()[:8], 16) / 2 ** 32
+
+
 def _grow(tree_id: int, data: np.ndarray, seed: int) -> list:
-    """Nodes of one random tree; children of node i are 2i+1 and 2i+2."""
-    random = np.random.default_rng([seed, tree_id])
+    """Nodes of one random tree; children of node i are 2i+1 and 2i+2.
+
+    A node's feature and threshold are drawn from its place in the tree, so a tree depends on
+    its rows and the seed alone.
+    """
     depth_limit = max(1, math.ceil(math.log2(max(len(data), 2))))
     nodes, stack = [], [(0, data, 0)]
     while stack:
@@ -74,8 +83,8 @@ def _grow(tree_id: int, data: np.ndarray, seed: int) -> list:
         if depth >= depth_limit or len(usable) == 0:
             nodes.append((tree_id, node, -1, 0.0, len(part)))
             continue
-        feature = int(random.choice(usable))
-        threshold = float(random.uniform(low[feature], high[feature]))
+        feature = int(usable[int(_share(seed, tree_id, node, "feature") * len(usable))])
+        threshold = float(low[feature] + (high[feature] - low[feature]) * _share(seed, tree_id, node, "threshold"))
         left = part[:, feature] <= threshold
         nodes.append((tree_id, node, feature, threshold, len(part)))
         stack.append((2 * node + 2, part[~left], depth + 1))

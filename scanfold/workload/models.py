@@ -14,7 +14,7 @@ from scanfold.sources import driver_tables as D
 from scanfold.sources.workspace import new_path, stored
 from scanfold.workload import query
 from scanfold.values import rules as R
-from scanfold.workload.oracle_base import with_views
+from scanfold.workload.oracle_base import FEATURE_NAMES, with_views
 
 KEYS = ["scan_id", "ip"]
 RUN_AT = "2024-01-31 12:00:00"
@@ -90,11 +90,6 @@ def feature_importance_report(spark, d):
         MO.feature_importance(spark, bundle), bundle.model_name, spark)
 
 
-@query("isolation_forest_fit")
-def isolation_forest_fit(spark, d):
-    return forest.fit_forest(features(spark, d))
-
-
 #: The draws of each tree over all hosts, and the rows it grows on.
 DRAWS = f"""
 trees(tree_id, factor, shift) AS (VALUES {", ".join(str((t, *hashing.multipliers(R.SEED, t))) for t in range(R.FOREST_TREES))}),
@@ -116,11 +111,85 @@ def forest_samples(spark, d):
         F.min(F.concat_ws(" ", "scan_id", "ip")).alias("first_host"))
 
 
-@query("isolation_forest_score")
+DEPTH = 8  # 2 ** 8 rows to a tree
+
+
+def _level(n: int) -> str:
+    """DuckDB text of one level of all trees: the rows' nodes, and where each goes on."""
+    def share(part):
+        return f"(CAST('0x' || substr(md5('{R.SEED}|' || tree_id || '|' || node || '|{part}'), 1, 8) AS BIGINT) / 4294967296.0)"
+    before = "SELECT tree_id, rid, 0 AS node FROM picked" if n == 0 else (
+        f"SELECT r.tree_id, r.rid, 2 * r.node + CASE WHEN v.v <= s.threshold THEN 1 ELSE 2 END AS node FROM rows{n - 1} r "
+        f"JOIN split{n - 1} s USING (tree_id, node) JOIN cells v ON v.rid = r.rid AND v.feature = s.feature")
+    text = f"rows{n} AS ({before})"
+    if n == DEPTH:
+        return text
+    return text + f""",
+spread{n} AS (
+  SELECT tree_id, node, feature, min(v) AS low, max(v) AS high, row_number() OVER (PARTITION BY tree_id, node ORDER BY feature) - 1 AS place,
+    count(*) OVER (PARTITION BY tree_id, node) AS usable
+  FROM rows{n} JOIN cells USING (rid) GROUP BY tree_id, node, feature HAVING max(v) > min(v)),
+split{n} AS (
+  SELECT tree_id, node, feature, low + (high - low) * {share("threshold")} AS threshold FROM spread{n}
+  WHERE place = CAST(floor({share("feature")} * usable) AS BIGINT))"""
+
+
+def forest_views(rows: str = "labelled") -> str:
+    """DuckDB text of the forest over a feature table: samples, nodes."""
+    values = ", ".join(f"CAST({name} AS DOUBLE)" for name in FEATURE_NAMES)
+    sizes = " UNION ALL ".join(
+        f"SELECT r.tree_id, r.node AS node_id, coalesce(s.feature, -1) AS feature, coalesce(s.threshold, 0.0) AS threshold, count(*) AS size "
+        f"FROM rows{n} r LEFT JOIN {f'split{n}' if n < DEPTH else '(SELECT NULL AS tree_id, NULL AS node, NULL AS feature, NULL AS threshold)'} s "
+        f"ON s.tree_id = r.tree_id AND s.node = r.node GROUP BY ALL" for n in range(DEPTH + 1))
+    return DRAWS.replace("labelled", rows) + f""",
+wide AS (SELECT scan_id || ' ' || ip AS rid, [{values}] AS vs FROM {rows}),
+picked AS (SELECT tree_id, scan_id || ' ' || ip AS rid FROM samples),
+cells AS MATERIALIZED (
+  SELECT rid, unnest(range(0, {len(FEATURE_NAMES)})) AS feature, unnest(vs) AS v FROM wide SEMI JOIN picked USING (rid)),
+""" + ",\n".join(_level(n) for n in range(DEPTH + 1)) + f""",
+nodes AS MATERIALIZED ({sizes})"""
+
+
+NODES = "SELECT tree_id, node_id, CAST(feature AS INT) AS feature, threshold, CAST(size AS INT) AS size FROM nodes"
+
+
+def _path(n: str) -> str:
+    return (f"CASE WHEN {n} > 2 THEN 2 * (ln({n} - 1.0) + 0.5772156649015329) - 2 * ({n} - 1.0) / {n} "
+            f"WHEN {n} = 2 THEN 1.0 ELSE 0.0 END")
+
+
+def score_views(rows: str = "labelled", scored: str = "wide") -> str:
+    """DuckDB text of the raw and anomaly scores: every row walks down every tree."""
+    steps = []
+    for n in range(DEPTH):
+        before = f"SELECT w.rid, t.tree_id, 0 AS node FROM {scored} w CROSS JOIN trees t" if n == 0 else f"FROM walk{n - 1}"
+        steps.append(f"""walk{n} AS (
+  SELECT w.rid, w.tree_id, CASE WHEN k.feature < 0 OR k.feature IS NULL THEN w.node
+    ELSE 2 * w.node + CASE WHEN x.vs[k.feature + 1] > k.threshold THEN 2 ELSE 1 END END AS node
+  FROM ({before}) w LEFT JOIN nodes k ON k.tree_id = w.tree_id AND k.node_id = w.node JOIN {scored} x ON x.rid = w.rid)""")
+    return ",\n".join(steps) + f""",
+lengths AS (
+  SELECT w.rid, sum(floor(log2(w.node + 1)) + {_path("k.size")}) / {R.FOREST_TREES} AS average FROM walk{DEPTH - 1} w
+  JOIN nodes k ON k.tree_id = w.tree_id AND k.node_id = w.node GROUP BY w.rid),
+norm AS (SELECT {_path("m")} AS norm FROM (SELECT CAST(max(size) AS DOUBLE) AS m FROM nodes WHERE node_id = 0)),
+scores AS (SELECT rid, -pow(2, -average / norm) AS raw_score FROM lengths CROSS JOIN norm),
+with_keys AS (SELECT split_part(rid, ' ', 1) AS scan_id, split_part(rid, ' ', 2) AS ip, raw_score FROM scores),
+ends AS (SELECT scan_id, min(raw_score) AS low, max(raw_score) AS high FROM with_keys GROUP BY scan_id),
+anomalies_of AS (
+  SELECT scan_id, ip, round(raw_score, 9) AS raw_score,
+    CASE WHEN high > low THEN round(1 - (raw_score - low) / (high - low), 4) ELSE 0.5 END AS anomaly_score FROM with_keys JOIN ends USING (scan_id))"""
+
+
+@query("isolation_forest_fit", with_views("labelled", NODES, forest_views()))
+def isolation_forest_fit(spark, d):
+    return forest.fit_forest(features(spark, d))
+
+
+@query("isolation_forest_score", with_views("labelled", "SELECT * FROM anomalies_of", forest_views() + ",\n" + score_views()))
 def isolation_forest_score(spark, d):
     rows = features(spark, d)
     scored = forest.score_forest(rows, forest.fit_forest(rows))
-    return HO.score_anomaly(scored).select(*KEYS, "raw_score", "anomaly_score")
+    return HO.score_anomaly(scored).select(*KEYS, F.round("raw_score", 9).alias("raw_score"), "anomaly_score")
 
 
 def stored_bundle(spark, d):
@@ -129,7 +198,7 @@ def stored_bundle(spark, d):
     return path
 
 
-@query("model_sink")
+@query("model_sink", with_views("labelled", NODES, forest_views()))
 def model_sink(spark, d):
     return spark.read.parquet(f"{stored_bundle(spark, d)}/forest")
 
