@@ -127,6 +127,26 @@ def score_rows(rows: DataFrame, model: PipelineModel) -> DataFrame:
     }).select(*rows.columns, "prediction", "predicted_probability_suspicious")
 
 
+def _tree_sql(node, features: list) -> str:
+    """Nested CASE of a decision tree's node; a leaf gives its share of ``suspicious``."""
+    if node.getClass().getSimpleName() == "LeafNode":
+        shares = list(node.impurityStats().stats())
+        return f"{shares[1] / sum(shares)!r}D"
+    split = node.split()
+    return (f"CASE WHEN {features[split.featureIndex()]} <= {float(split.threshold())!r}D "
+            f"THEN {_tree_sql(node.leftChild(), features)} ELSE {_tree_sql(node.rightChild(), features)} END")
+
+
+def scoring_sql(model: PipelineModel, features: list | None = None) -> str:
+    """The model's probability of ``suspicious`` as SQL text over the feature columns, for scoring
+    without the model's library. A tree has 127 nodes at most."""
+    names, last = features or feature_columns(), model.stages[-1]
+    if hasattr(last, "coefficients"):
+        terms = [f"{float(c)!r}D * {name}" for name, c in zip(names, last.coefficients.toArray()) if c != 0]
+        return f"1D / (1D + exp(-({' + '.join([f'{float(last.intercept)!r}D', *terms])})))"
+    return _tree_sql(last._java_obj.rootNode(), names)
+
+
 def train_models(training: DataFrame, with_forest: bool = True) -> tuple:
     """Fit all candidates and keep the best by F1; returns (bundle, note)."""
     note = train_gate(training).first().note
