@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from scanfold.functions import port_rules as P
 from scanfold.functions.sql_text import case, contains_any, numbers, quote, strings
+from scanfold.operators.baseline import MOST_BROADCAST_SCANS
 from scanfold.operators.shuffle import latest, salted_join
+from scanfold.sources.workspace import stored
 from scanfold.values import ports as V
 from scanfold.values import rules as R
 
@@ -172,3 +174,82 @@ def enrich_unknown_ports(port_obs: DataFrame, hosts: DataFrame,
     gated = salted_join(merged, gate, ["scan_id"], ["ip", "port"])
     joined = gated.join(host_context(merged, hosts), KEYS, "left")
     return _with_guesses(joined, f"needs_enrichment AND {P.unknown_sql()}").select(*base.columns)
+
+
+# --- the same within nested host records ----------------------------------------
+
+def _ports_sql(fields: list, values: dict, at: str = "p") -> str:
+    """A port of the given fields as SQL text, where ``values`` says which differ from ``at``."""
+    return "named_struct(" + ", ".join(f"'{f}', {values.get(f, f'{at}.{f}')}" for f in fields) + ")"
+
+
+def _fields(records: DataFrame) -> list:
+    present = records.schema["open_ports"].dataType.elementType.fieldNames()
+    return present + [c for c in GUESS_TYPES if c not in present]
+
+
+def _base_ports(records: DataFrame) -> str:
+    """SQL text of the ports with a source and with the guess fields, empty where they are absent."""
+    present = set(records.schema["open_ports"].dataType.elementType.fieldNames())
+    values = {c: f"cast(NULL AS {kind})" for c, kind in GUESS_TYPES.items() if c not in present}
+    values["service_source"] = (f"CASE WHEN coalesce(p.service_source, '') <> '' THEN p.service_source WHEN {P.unknown_sql('p.')} "
+                                f"THEN {quote(R.SOURCE_GUESS)} ELSE {quote(R.SOURCE_SCAN)} END")
+    return f"transform(open_ports, p -> {_ports_sql(_fields(records), values)})"
+
+
+def _open_questions() -> str:
+    return (f"exists(open_ports, p -> {P.unknown_sql('p.')} AND NOT (p.service_source = {quote(R.SOURCE_ENRICHED)} OR coalesce(p.service_guess, '') <> '' "
+            "OR coalesce(p.device_guess, '') <> '' OR coalesce(p.guess_evidence, '') <> ''))")
+
+
+def _taken_over(records: DataFrame) -> str:
+    """SQL text of the ports with the fields of the last second look, where that names the service."""
+    looked = ("transform(open_ports, p -> named_struct('p', p, 'f', "
+              "try_element_at(filter(_second, s -> s.protocol = p.protocol AND s.port = p.port), -1)))")
+    known = f"x.f IS NOT NULL AND NOT {P.unknown_sql('x.f.')}"
+    values = {c: f"CASE WHEN {known} THEN x.f.{c} ELSE x.p.{c} END" for c in REPLACED}
+    values |= {c: f"CASE WHEN {known} THEN NULL ELSE x.p.{c} END" for c in list(GUESS_TYPES)[1:]}
+    values["original_service"] = f"CASE WHEN {known} THEN coalesce(x.p.original_service, x.p.service) ELSE x.p.original_service END"
+    values["service_source"] = f"CASE WHEN {known} THEN {quote(R.SOURCE_ENRICHED)} ELSE x.p.service_source END"
+    return f"CASE WHEN _second IS NULL THEN open_ports ELSE transform({looked}, x -> {_ports_sql(_fields(records), values, 'x.p')}) END"
+
+
+def _signals() -> dict:
+    """SQL text of the four signals of a host row, from its words and its ports."""
+    texts = [f"lower(coalesce(p.{f}, ''))" for f in ("service", "product", "version", "extrainfo")] + [P.script_text_sql("p.scripts")]
+
+    def signal(tokens, more=""):
+        return f"{contains_any('words', tokens)} OR exists(open_ports, p -> {' OR '.join(contains_any(t, tokens) for t in texts)}{more})"
+    apple = f" OR p.port IN ({numbers(R.APPLE_PORTS)}) OR {texts[0]} IN ({strings(R.APPLE_SERVICES)})"
+    return {"has_apple": signal(R.APPLE_TOKENS, apple), "has_media": signal(R.MEDIA_TOKENS),
+            "has_printer_sign": signal(R.PRINTER_TOKENS, f" OR p.port IN ({numbers(R.PRINTER_PORTS)})"),
+            "has_web_admin": f"exists(open_ports, p -> p.port IN ({numbers(V.PORT_GROUPS['web'])}))"}
+
+
+def enrich_records(records: DataFrame, second: DataFrame | None = None) -> DataFrame:
+    """``enrich_unknown_ports`` within nested host records: ports never leave their row. The
+    result is written, so that no expression over all ports is repeated by what reads single fields.
+
+    Only the rows of the second pass are grouped, and one join on the host brings them to the
+    records. Whether a scan has an open question is one row per scan, which is written and
+    broadcast while there are at most ``MOST_BROADCAST_SCANS``.
+    """
+    base = records.withColumn("open_ports", F.expr(_base_ports(records)))
+    gate = stored(base.groupBy("scan_id").agg(F.expr(f"bool_or({_open_questions()})").alias("needs_enrichment")), "enrichment-gate")
+    rows = base
+    if second is not None:
+        looks = latest(second, PORT_KEY, F.col("pos")).groupBy(*KEYS).agg(
+            F.collect_list(F.struct("protocol", "port", *REPLACED)).alias("_second"))
+        rows = base.join(looks, KEYS, "left").withColumn("open_ports", F.expr(_taken_over(base))).drop("_second")
+    if gate.count() <= MOST_BROADCAST_SCANS:
+        rows = rows.join(F.broadcast(gate), "scan_id", "left")
+    else:
+        rows = salted_join(rows, gate, ["scan_id"], ["ip"])
+    words = "lower(concat_ws(' ', coalesce(hostname, ''), coalesce(vendor, ''), transform(os_matches, m -> m.name)))"
+    rows = rows.withColumn("words", F.expr(words)).withColumns({name: F.expr(sql) for name, sql in _signals().items()})
+    guesses = ", ".join(f"'{c}', {sql}" for c, sql in _guess_columns().items())
+    rows = rows.withColumn("_guesses", F.expr(f"transform(open_ports.port, port -> named_struct({guesses}))"))
+    asked = f"coalesce(needs_enrichment, false) AND {P.unknown_sql('p.')}"
+    values = {c: f"CASE WHEN {asked} THEN _guesses[i].{c} ELSE p.{c} END" for c in _guess_columns()}
+    rows = rows.withColumn("open_ports", F.expr(f"transform(open_ports, (p, i) -> {_ports_sql(_fields(base), values)})"))
+    return stored(rows.select(*records.columns), "enriched")

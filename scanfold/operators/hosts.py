@@ -6,21 +6,8 @@ from pyspark.sql import functions as F
 from scanfold.functions import host_rules as H
 from scanfold.operators.features import KEYS
 from scanfold.operators.shuffle import rank_rows, salted_join
-from scanfold.sources.workspace import stored
 from scanfold.values import rules as R
-
-EXPORT_COLUMNS = [
-    "ip", "hostname", "prediction", "probability_suspicious", "risk_score", "severity",
-    "triage_status", "asset_type", "anomaly_score", "open_port_count", "risky_port_count",
-    "very_risky_port_count", "critical_port_count", "high_detail_risk_port_count",
-    "cleartext_count", "admin_port_count", "db_count", "fileshare_count", "remote_access_count",
-    "top_risk_ports", "alerts", "recommendations",
-]
-READABLE_COLUMNS = [
-    "ip", "hostname", "label", "open_port_count", "risky_port_count", "very_risky_port_count",
-    "critical_port_count", "high_detail_risk_port_count", "remote_access_count", "cleartext_count",
-    "admin_port_count", "db_count", "fileshare_count", "top_risk_ports", "risk_summary",
-]
+from scanfold.values.columns import EXPORT_COLUMNS, READABLE_COLUMNS
 
 
 def add_labels(features: DataFrame) -> DataFrame:
@@ -49,11 +36,8 @@ def readable_training(training: DataFrame) -> DataFrame:
 
 
 def score_anomaly(raw: DataFrame, column: str = "raw_score") -> DataFrame:
-    """Min-max anomaly score per scan; low raw scores are anomalous.
-
-    The scored rows are written once: the bounds and the scores both read what was written.
-    """
-    raw = stored(raw, "raw-scores")
+    """Min-max anomaly score per scan; low raw scores are anomalous. Bounds and scores both read
+    ``raw``, so give it stored where it is dear to compute."""
     bounds = minmax_bounds(raw, column)
     joined = salted_join(raw, bounds, ["scan_id"], ["ip"])
     span = F.col("raw_max") - F.col("raw_min")

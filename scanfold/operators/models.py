@@ -14,6 +14,7 @@ from scanfold.functions import hashing
 from scanfold.operators import forest
 from scanfold.operators.features import feature_columns, zero_fill
 from scanfold.operators.training import binary_metrics, class_weights, train_gate
+from scanfold.sources.workspace import stored
 from scanfold.values import rules as R
 
 LABELS = ["normal", "suspicious"]
@@ -224,4 +225,5 @@ def predict_scores(features: DataFrame, bundle: ModelBundle) -> DataFrame:
     scored = score_rows(features, bundle.model)
     if bundle.nodes is None:
         return scored.withColumn("anomaly_score", F.lit(0.0))
-    return score_anomaly(forest.score_forest(scored, bundle.nodes)).drop("raw_score")
+    # Written once: the bounds and the scores both read what was scored.
+    return score_anomaly(stored(forest.score_forest(scored, bundle.nodes), "raw-scores")).drop("raw_score")

@@ -7,13 +7,7 @@ from scanfold.functions import port_rules as P
 from scanfold.functions.sql_text import quote
 from scanfold.operators.features import KEYS, port_dimension
 from scanfold.values import ports as V
-
-DETAIL_COLUMNS = [
-    "ip", "hostname", "protocol", "port", "service", "service_source", "service_guess",
-    "device_guess", "guess_confidence", "guess_evidence", "product", "version", "extrainfo",
-    "tunnel", "state_reason", "service_method", "service_confidence", "category", "risk_level",
-    "risk_score", "description", "recommendation", "script_summary",
-]
+from scanfold.values.columns import DETAIL_COLUMNS
 
 
 def explode_ports(hosts: DataFrame) -> DataFrame:

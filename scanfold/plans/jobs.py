@@ -114,8 +114,8 @@ def train_job(training: DataFrame, out: str) -> tuple:
 
 
 def enrichment_job(records: DataFrame, second: DataFrame | None = None) -> DataFrame:
-    """Default sources, gate, second pass and guesses over the flat table."""
-    return E.enrich_unknown_ports(explode_ports(records), records.select(*HOST_COLUMNS), second)
+    """Default sources, gate, second pass and guesses, as flat rows."""
+    return explode_ports(E.enrich_records(records, second))
 
 
 def recorded_scans(spark: SparkSession, state: str) -> DataFrame | None:

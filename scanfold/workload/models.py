@@ -239,7 +239,7 @@ def isolation_forest_fit(spark, d):
 @query("isolation_forest_score", with_views("labelled", "SELECT * FROM anomalies_of", forest_views() + ",\n" + score_views()))
 def isolation_forest_score(spark, d):
     rows = features(spark, d)
-    scored = forest.score_forest(rows, forest.fit_forest(rows))
+    scored = stored(forest.score_forest(rows, forest.fit_forest(rows)).select(*KEYS, "raw_score"), "raw-scores")
     return HO.score_anomaly(scored).select(*KEYS, F.round("raw_score", 9).alias("raw_score"), "anomaly_score")
 
 

@@ -10,7 +10,7 @@ from scanfold.operators import ports as PO
 from scanfold.plans import jobs, reports
 from scanfold.sinks import tables as SK
 from scanfold.sources import driver_tables as D
-from scanfold.sources.workspace import new_path
+from scanfold.sources.workspace import new_path, stored
 from scanfold.values import ports as V
 from scanfold.values import rules as R
 from scanfold.workload import query
@@ -345,7 +345,8 @@ def apply_guesses(spark, d):
 @query("unknown_enrichment_job", with_views("obs hosts", APPLIED.format(source="merged"),
                                             SECOND + "," + guess_sql("merged")))
 def unknown_enrichment_job(spark, d):
-    enriched = jobs.enrichment_job(D.host_records(spark, d), D.second_pass(spark, d))
+    records = stored(D.host_records(spark, d), "records")
+    enriched = jobs.enrichment_job(records, D.second_pass(spark, d))
     return enriched.select(*PORT_COLUMNS, "service", "service_source", *GUESS_COLUMNS)
 
 

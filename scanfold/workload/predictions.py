@@ -19,6 +19,7 @@ from scanfold.sources import driver_tables as D
 from scanfold.sources import tables as ST
 from scanfold.sources.workspace import new_path, stored
 from scanfold.values import rules as R
+from scanfold.values.columns import EXPORT_COLUMNS
 from scanfold.workload import query
 from scanfold.workload.baseline import REPORT
 from scanfold.workload.baseline import diff as scan_diff
@@ -128,7 +129,7 @@ def join_trusted(spark, d):
 
 EXPORT = "SELECT scan_id, " + ", ".join(
     "round(predicted_probability_suspicious, 4) AS probability_suspicious" if c == "probability_suspicious" else c
-    for c in HO.EXPORT_COLUMNS) + " FROM predictions"
+    for c in EXPORT_COLUMNS) + " FROM predictions"
 
 
 @query("predictions_table", with_predictions(EXPORT))

@@ -2,21 +2,20 @@
 
 from scanfold import schemas
 
-# A port as "number service product version"; "-" stands for an empty text.
+# Number, service, product and version of each port.
 SERVICES = {
-    "web": "80 http Apache 2.4|443 https Apache 2.4",
-    "ssh_https": "22 ssh OpenSSH 9.0|443 https nginx 1.24",
-    "ssh": "22 ssh OpenSSH 8.9",
-    "gaming": "27015 unknown - -|443 https nginx 1.24",
-    "printer": "80 http Printer-Web 3.2|631 ipp CUPS 2.4",
-    "camera": "80 http Cam-Web 1.8|554 rtsp CamStream 2.0",
-    "pos": "443 https POS-Web 5.1|3306 mysql MySQL 8.0",
-    "nas": "22 ssh OpenSSH 9.0|445 microsoft-ds Samba 4.15|2049 nfs - -",
-    "wifi": "22 ssh OpenSSH 9.1|443 https nginx 1.24|8080 http-proxy - -",
-    "admin": "22 ssh OpenSSH 9.0|443 https nginx 1.24|445 microsoft-ds Samba 4.15|3306 mysql MySQL 8.0|"
-             "3389 ms-wbt-server - -",
+    "web": [(80, "http", "Apache", "2.4"), (443, "https", "Apache", "2.4")],
+    "ssh_https": [(22, "ssh", "OpenSSH", "9.0"), (443, "https", "nginx", "1.24")],
+    "ssh": [(22, "ssh", "OpenSSH", "8.9")],
+    "gaming": [(27015, "unknown", "", ""), (443, "https", "nginx", "1.24")],
+    "printer": [(80, "http", "Printer-Web", "3.2"), (631, "ipp", "CUPS", "2.4")],
+    "camera": [(80, "http", "Cam-Web", "1.8"), (554, "rtsp", "CamStream", "2.0")],
+    "pos": [(443, "https", "POS-Web", "5.1"), (3306, "mysql", "MySQL", "8.0")],
+    "nas": [(22, "ssh", "OpenSSH", "9.0"), (445, "microsoft-ds", "Samba", "4.15"), (2049, "nfs", "", "")],
+    "wifi": [(22, "ssh", "OpenSSH", "9.1"), (443, "https", "nginx", "1.24"), (8080, "http-proxy", "", "")],
+    "admin": [(22, "ssh", "OpenSSH", "9.0"), (443, "https", "nginx", "1.24"), (445, "microsoft-ds", "Samba", "4.15"), (3306, "mysql", "MySQL", "8.0"), (3389, "ms-wbt-server", "", "")],
 }
-# Ports of the risky hosts by last address part.
+# Ports of the risky hosts by last address part.
 RISKY = {
     201: [21, 23, 3000, 5000], 202: [23, 111, 445, 7000], 203: [21, 23, 445, 3389, 8081],
     204: [23, 445, 3389, 5900, 7001], 205: [21, 23, 111, 445, 3389], 206: [23, 445, 3389, 5000, 5001],
@@ -40,8 +39,7 @@ def host(ip, name, ports, scan_id="s1", vendor="", systems=()):
 
 
 def _kind(name):
-    entries = [entry.split(" ") for entry in SERVICES[name].split("|")]
-    return [port(int(n), s, *["" if x == "-" else x for x in rest]) for n, s, *rest in entries]
+    return [port(*row) for row in SERVICES[name]]
 
 
 def cafe_hosts():
@@ -59,28 +57,28 @@ def cafe_hosts():
     return hosts
 
 
-# ip, ports, score, label, confidence, asset, alerts by severity.
+# Ip, ports, score, label, confidence, asset, alerts by severity.
 SYNTHETIC = [
-    ("10.10.10.10", "22,443", 0, "normal", 1.0, "server", (0, 0, 0, 1)),
-    ("10.10.10.11", "62078,49152", 0, "normal", 1.0, "unknown", (0, 0, 0, 0)),
-    ("10.10.10.12", "631,9100", 0, "normal", 1.0, "printer", (0, 0, 0, 1)),
-    ("10.10.10.13", "80,443", 0, "normal", 1.0, "server", (0, 0, 0, 1)),
-    ("10.10.10.14", "25,587,993", 0, "normal", 1.0, "mail_server", (0, 0, 0, 1)),
-    ("10.10.10.15", "22,8080", 2, "normal", 0.8, "server", (0, 1, 0, 1)),
-    ("10.10.10.16", "554,80", 0, "normal", 1.0, "iot_camera", (0, 0, 0, 2)),
-    ("10.10.10.17", "22,5000,7000", 0, "normal", 1.0, "server", (0, 0, 0, 1)),
-    ("10.10.10.18", "53,443", 0, "normal", 1.0, "unknown", (0, 0, 0, 1)),
-    ("10.10.10.19", "22,443,2049", 0, "normal", 1.0, "server", (0, 0, 0, 1)),
-    ("10.10.20.20", "23,80,161", 12, "suspicious", 1.0, "network_device", (1, 3, 0, 1)),
-    ("10.10.20.21", "21,445,139", 12, "suspicious", 1.0, "file_server", (1, 1, 0, 0)),
-    ("10.10.20.22", "3389,5985,445", 13, "suspicious", 1.0, "workstation", (2, 3, 0, 0)),
-    ("10.10.20.23", "3306,5432,6379", 10, "suspicious", 1.0, "database_server", (2, 0, 0, 0)),
-    ("10.10.20.24", "2375,6443,10250", 12, "suspicious", 1.0, "container_host", (2, 1, 0, 0)),
-    ("10.10.20.25", "9200,5601,9300", 5, "suspicious", 0.5, "unknown", (1, 0, 0, 0)),
-    ("10.10.20.26", "1883,554,23", 10, "suspicious", 1.0, "iot_camera", (1, 2, 0, 1)),
-    ("10.10.20.27", "69,111,2049", 10, "suspicious", 1.0, "file_server", (0, 3, 0, 0)),
-    ("10.10.20.28", "5900,22,8080", 8, "suspicious", 0.8, "server", (1, 2, 0, 1)),
-    ("10.10.20.29", "11211,6379,80", 8, "suspicious", 0.8, "server", (1, 1, 0, 1)),
+    ("10.10.10.10", [22, 443], 0, "normal", 1.0, "server", (0, 0, 0, 1)),
+    ("10.10.10.11", [62078, 49152], 0, "normal", 1.0, "unknown", (0, 0, 0, 0)),
+    ("10.10.10.12", [631, 9100], 0, "normal", 1.0, "printer", (0, 0, 0, 1)),
+    ("10.10.10.13", [80, 443], 0, "normal", 1.0, "server", (0, 0, 0, 1)),
+    ("10.10.10.14", [25, 587, 993], 0, "normal", 1.0, "mail_server", (0, 0, 0, 1)),
+    ("10.10.10.15", [22, 8080], 2, "normal", 0.8, "server", (0, 1, 0, 1)),
+    ("10.10.10.16", [554, 80], 0, "normal", 1.0, "iot_camera", (0, 0, 0, 2)),
+    ("10.10.10.17", [22, 5000, 7000], 0, "normal", 1.0, "server", (0, 0, 0, 1)),
+    ("10.10.10.18", [53, 443], 0, "normal", 1.0, "unknown", (0, 0, 0, 1)),
+    ("10.10.10.19", [22, 443, 2049], 0, "normal", 1.0, "server", (0, 0, 0, 1)),
+    ("10.10.20.20", [23, 80, 161], 12, "suspicious", 1.0, "network_device", (1, 3, 0, 1)),
+    ("10.10.20.21", [21, 445, 139], 12, "suspicious", 1.0, "file_server", (1, 1, 0, 0)),
+    ("10.10.20.22", [3389, 5985, 445], 13, "suspicious", 1.0, "workstation", (2, 3, 0, 0)),
+    ("10.10.20.23", [3306, 5432, 6379], 10, "suspicious", 1.0, "database_server", (2, 0, 0, 0)),
+    ("10.10.20.24", [2375, 6443, 10250], 12, "suspicious", 1.0, "container_host", (2, 1, 0, 0)),
+    ("10.10.20.25", [9200, 5601, 9300], 5, "suspicious", 0.5, "unknown", (1, 0, 0, 0)),
+    ("10.10.20.26", [1883, 554, 23], 10, "suspicious", 1.0, "iot_camera", (1, 2, 0, 1)),
+    ("10.10.20.27", [69, 111, 2049], 10, "suspicious", 1.0, "file_server", (0, 3, 0, 0)),
+    ("10.10.20.28", [5900, 22, 8080], 8, "suspicious", 0.8, "server", (1, 2, 0, 1)),
+    ("10.10.20.29", [11211, 6379, 80], 8, "suspicious", 0.8, "server", (1, 1, 0, 1)),
 ]
 SYNTHETIC_SERVICES = {62078: "iphone-sync", 9100: "jetdirect", 7000: "airplay", 10250: "kubelet",
                       9300: "elasticsearch-node", 49152: "unknown"}
@@ -89,7 +87,7 @@ SYNTHETIC_SERVICES = {62078: "iphone-sync", 9100: "jetdirect", 7000: "airplay",
 def synthetic_hosts():
     from scanfold.values.ports import PORT_PROFILES
     names = {row[0]: row[1] for row in PORT_PROFILES} | SYNTHETIC_SERVICES
-    return [host(ip, f"host-{ip}", [port(int(p), names[int(p)]) for p in ports.split(",")])
+    return [host(ip, f"host-{ip}", [port(p, names[p]) for p in ports])
             for ip, ports, *_ in SYNTHETIC]
 
 

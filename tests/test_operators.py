@@ -167,3 +167,35 @@ def test_equal_scores_give_half(spark):
                                  "scan_id string, ip string, raw_score double")
     got = {(r.scan_id, r.ip): r.anomaly_score for r in HO.score_anomaly(rows).collect()}
     assert got == {("s", "a"): 0.5, ("s", "b"): 0.5, ("t", "a"): 1.0, ("t", "b"): 0.0}
+
+
+def test_nested_enrichment_agrees_with_the_flat_one(spark):
+    records = host_frame(spark, [
+        host("apple", "macbook-1", [port(50000, ""), port(7000, "airplay"), port(4000, "unknown")]),
+        host("media", "", [port(554, "rtsp"), port(5000, "")]), host("print", "", [port(631, "ipp"), port(9100, "")]),
+        host("web", "", [port(80, "http"), port(4000, " Unknown "), port(53, "", protocol="udp"), port(53, "")]), host("none", "", [])])
+    quiet = host_frame(spark, [host("a", "", [port(22, "ssh")])]).withColumn("scan_id", F.lit("quiet"))
+    records = records.unionByName(quiet)
+    flat = PO.explode_ports(records)
+    second = flat.filter("port IN (4000, 53)").withColumns({
+        "service": F.when(F.col("protocol") == "udp", "unknown").otherwise(F.lit("named")), "product": F.lit("found")})
+    again = second.filter("ip = 'web'").withColumns({"pos": F.col("pos") + 10, "product": F.lit("last")})
+    for looks in (None, second, second.unionByName(again)):
+        want = E.enrich_unknown_ports(flat, records, looks)
+        got = PO.explode_ports(E.enrich_records(records, looks)).select(*want.columns)
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_nested_enrichment_shuffles_little(spark, cafe, monkeypatch):
+    plans, write = [], E.stored
+
+    def recorded(rows, name):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return write(rows, name)
+    monkeypatch.setattr(E, "stored", recorded)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        E.enrich_records(cafe, PO.explode_ports(cafe).filter("service = ''"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(plans) == 2 and 2 <= sum(p.count("Exchange hashpartitioning") for p in plans) <= 6

@@ -14,6 +14,9 @@ CHOSEN = [
     "host_alerts", "host_explanation", "full_baseline_diff", "baseline_diff_report", "predictions_table",
     "network_patterns", "rank_suspicious", "prediction_report", "dedupe_records", "learned_memory",
     "scan_cache_sink", "model_metrics", "split", "monitor_stream", "stateful_baseline",
+    "stateful_late_scan", "history_stream", "previous_scan_by_time", "scan_xml_dead_letter", "remembered_records",
+    "build_training_job", "job_diff_ignored_ports", "job_diff_second_pass", "job_diff_empty_hosts", "forest_samples",
+    "isolation_forest_fit", "isolation_forest_score", "decision_tree", "model_selection", "fixture_train_job", "full_job",
 ]
 
 
