@@ -62,7 +62,7 @@ def split_rows(training: DataFrame) -> DataFrame:
     stratified = min(by_label.values(), default=0) >= R.MIN_CLASS_ROWS_TO_STRATIFY
     group = F.col("label") if stratified else F.lit("")
     wanted = {g: math.ceil(round(n * share, 6)) for g, n in (by_label if stratified else {"": total}).items()}
-    keys = training.select("scan_id", "ip", group.alias("g"), F.expr(split_mix_sql()).alias("mix"))
+    keys = stored(training.select("scan_id", "ip", group.alias("g"), F.expr(split_mix_sql()).alias("mix")), "split-keys")
 
     # Per group: the range of hashes that holds its last test row, and the test rows left in it.
     bits = 3 * SPLIT_BITS
@@ -153,6 +153,8 @@ def train_models(training: DataFrame, with_forest: bool = True) -> tuple:
     note = train_gate(training).first().note
     if note is not None:
         return None, note
+    # Read many times from here on.
+    training = stored(training, "training-rows")
     split = split_rows(training)
     # Classes are balanced on the training side.
     train = class_weights(split.filter(~F.col("is_test"))).withColumn("label_index", label_index()).persist()

@@ -12,6 +12,7 @@ from scanfold.operators import models as MO
 from scanfold.operators import ports as PO
 from scanfold.operators import training as TR
 from scanfold.plans import jobs
+from scanfold.sources.workspace import stored
 from scanfold.values import rules as R
 
 
@@ -23,7 +24,7 @@ def test_gate(spark, cafe):
 
 
 def test_split_is_stratified_and_repeatable(cafe):
-    training = TR.build_training(FE.record_features(cafe))
+    training = stored(TR.build_training(FE.record_features(cafe)), "training")
     first = {r.ip: r.is_test for r in MO.split_rows(training).collect()}
     assert first == {r.ip: r.is_test for r in MO.split_rows(training).collect()}
     counts = {r.label: r.n for r in MO.split_rows(training).filter("is_test").groupBy("label").agg(
