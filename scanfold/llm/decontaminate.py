@@ -3,14 +3,21 @@
 A mask picks some of the words in a window and ignores the others, so a window still hashes alike
 when words at ignored places were replaced. The hashes of all windows of documents and benchmark
 items are joined; each hit fixes how an item lies along a document. Around a hit the item and the
-document are compared word by word along that diagonal: the best stretch, where an equal word
-counts 1 and a different one -4, so at least four fifths of it are equal, must hold ``least_words``
-equal words, or four fifths of an item that has fewer.
+document are compared word by word along that diagonal: a document holds an item when some stretch
+has four fifths of its words equal, wherever the different ones stand, and ``least_words`` equal
+words or four fifths of the item's, whichever is less. Of a diagonal's stretches the one with the
+best score counts, where an equal word is 1 and a different one -4.
+
+The masks lose none of these: every way to place a fifth of different words in a stretch leaves one
+mask at one place without any, which a test tries out in full up to 25 words; a longer stretch holds
+a shorter one of 13 to 25 words with the same share.
 
 Words are runs of letters and digits in lower case. Items shorter than the masks' span are looked
-up by a mask of their own length without ignored places, and must be there whole. A null or empty text has no words and no
-hits. Rows without an id can't be named and are left out; rows that share one are taken together. Empty tables on either side give an empty result. Only the
-named columns are read.
+up by a mask of their own length without ignored places, and must be there whole. A null or empty
+text has no words and no hits. Rows without an id can't be named and are left out; rows that share
+one, repeated rows too, are taken together. Of stretches with equally many equal words the first in
+the document counts, then the first in the item. Texts of any length are read whole. Empty tables on
+either side give an empty result. Only the named columns are read, whatever others there are.
 
 Before the join, a bit array of one size for any benchmark, handed over as a scalar subquery, sorts
 out windows whose hash no item has, so only those that may hit are shuffled.
@@ -25,8 +32,9 @@ from scanfold.llm.common import spare, text_of
 from scanfold.sources.workspace import stored
 
 #: Places of a window that count; the others are ignored.
-MASKS = ((0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 7))
+MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 4, 6, 7))
 LEAST_WORDS = 13
+#: What a different word costs, against 1 for an equal one: four fifths equal sum up to nothing.
 MISMATCH = 4
 #: Bits of the array that sorts out windows: 2 to this power.
 BIT_POWER = 22
@@ -96,28 +104,35 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     # With the words of both sides, each diagonal is compared whole.
     along = texts.select("id", "item", "diagonal", F.explode(F.array(word_hashes(F.col("text")))).alias("h")).join(
         items.select(F.col("id").alias("item"), F.col("h").alias("g")), "item")
-    scan = along.select("id", "item", "diagonal", F.size("g").alias("size"), F.transform(
-        "g", lambda w, i: F.coalesce(F.get("h", i + F.col("diagonal")) == w, F.lit(False))).alias("equal"))
-    state = F.struct(*[F.lit(0).alias(x) for x in ("at", "start", "score", "hits", "best", "best_start", "best_end", "best_hits")])
+    # A stretch begins and ends with equal words, so their places are all that is looked at. With the
+    # a-th to the b-th of them its score is 5 (b - a + 1) - 4 (p[b] - p[a] + 1): a part of its end and
+    # a part of its start, whose highest value so far goes along.
+    wanted = F.when(F.col("size") < span, F.col("size")).otherwise(F.least(F.lit(least_words), F.ceil(F.col("size") * 0.8))).cast("int")
+    alike = F.filter(F.transform("g", lambda w, i: F.when(F.get("h", i + F.col("diagonal")) == w, i)), lambda i: i.isNotNull())
+    scan = along.select("id", "item", "diagonal", F.size("g").alias("size"), alike.alias("at")).select("*", wanted.alias("wanted")).filter(F.size("at") >= F.col("wanted"))
+    whole = MISMATCH + 1
+
+    def parts(p: Column, b: Column) -> Column:
+        a = b - F.col("wanted") + 1
+        first = F.get("at", a)
+        return F.struct(p.alias("p"), (b * whole - p * MISMATCH + 1).alias("end"), (first * MISMATCH - a * whole).alias("start"), first.alias("first"))
+
+    state = F.struct(F.lit(None).cast("int").alias("high"), F.lit(0).alias("from"), F.struct(F.lit(-1).alias("score"), F.lit(0).alias("start"), F.lit(0).alias("words")).alias("best"))
 
     def step(s: Column, e: Column) -> Column:
-        fresh = s["score"] <= 0
-        start = F.when(fresh, s["at"]).otherwise(s["start"])
-        score = F.when(fresh, F.lit(0)).otherwise(s["score"]) + F.when(e, F.lit(1)).otherwise(F.lit(-MISMATCH))
-        equal = F.when(fresh, F.lit(0)).otherwise(s["hits"]) + e.cast("int")
-        better = score > s["best"]
-        return F.struct((s["at"] + 1).alias("at"), start.alias("start"), score.alias("score"), equal.alias("hits"),
-                        F.when(better, score).otherwise(s["best"]).alias("best"), F.when(better, start).otherwise(s["best_start"]).alias("best_start"),
-                        F.when(better, s["at"] + 1).otherwise(s["best_end"]).alias("best_end"), F.when(better, equal).otherwise(s["best_hits"]).alias("best_hits"))
-
-    best = scan.select("id", "item", "diagonal", "size", F.aggregate("equal", state, step).alias("s"))
-    wanted = F.when(F.col("size") < span, F.col("size")).otherwise(F.least(F.lit(least_words), F.ceil(F.col("size") * 0.8)))
-    found = best.filter(F.col("s.best_hits") >= wanted).select("id", "item", F.struct(
-        F.col("s.best_hits").alias("n_equal"), (-(F.col("s.best_start") + F.col("diagonal"))).alias("before"), F.col("s.best_start").alias("item_word"),
-        (F.col("s.best_end") - F.col("s.best_start")).alias("n_words")).alias("b"))
+        higher = e["start"].isNotNull() & (s["high"].isNull() | (e["start"] > s["high"]))
+        high, begin = F.when(higher, e["start"]).otherwise(s["high"]), F.when(higher, e["first"]).otherwise(s["from"])
+        better = F.coalesce(high + e["end"] > s["best"]["score"], F.lit(False))
+        best = F.when(better, F.struct((high + e["end"]).alias("score"), begin.alias("start"), (e["p"] - begin + 1).alias("words"))).otherwise(s["best"])
+        return F.struct(high.alias("high"), begin.alias("from"), best.alias("best"))
+
+    told = scan.select("id", "item", "diagonal", F.aggregate(F.transform("at", parts), state, step, lambda s: s["best"]).alias("s")).filter("s.score >= 0")
+    found = told.select("id", "item", F.struct(
+        ((F.col("s.words") * MISMATCH + F.col("s.score")) / whole).cast("int").alias("n_equal"), (-(F.col("s.start") + F.col("diagonal"))).alias("before"),
+        (-F.col("s.start")).alias("item_before"), F.col("s.words").alias("n_words")).alias("b"))
     top = found.groupBy("id", "item").agg(F.max("b").alias("b"))
     return top.select(F.col("id").alias(id_col), F.col("item").alias(item_col), (-F.col("b.before")).cast("long").alias("doc_word"),
-                      F.col("b.item_word").cast("long").alias("item_word"), F.col("b.n_words").cast("long").alias("n_words"), F.col("b.n_equal").cast("long").alias("n_equal"))
+                      (-F.col("b.item_before")).cast("long").alias("item_word"), F.col("b.n_words").cast("long").alias("n_words"), F.col("b.n_equal").cast("long").alias("n_equal"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

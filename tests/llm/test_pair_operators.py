@@ -1,5 +1,6 @@
 """N-gram Jaccard join, decontamination, substring dedup and the pipeline against plain Python."""
 
+import itertools
 import random
 import re
 
@@ -152,6 +153,49 @@ def test_decontamination(documents, spark):
     assert decontaminate.contaminated(documents([]), benchmark).count() == 0
 
 
+def test_masks_lose_nothing():
+    """However a fifth of a stretch's words are replaced, a mask fits somewhere between them."""
+    masks = [sum(1 << i for i in m) for m in decontaminate.MASKS]
+    for size, replaced in ((8, 1), (10, 2), (13, 2), (15, 3), (20, 4), (25, 5)):
+        for places in itertools.combinations(range(size), replaced):
+            gone = sum(1 << i for i in places)
+            assert any(not m << p & gone for m in masks for p in range(size - m.bit_length() + 1)), (size, places)
+
+
+def holds(item, text, least=decontaminate.LEAST_WORDS):
+    """Whether some stretch along some diagonal is equal enough and has words enough, by trying all."""
+    wanted = min(least, -(-4 * len(item) // 5)) if len(item) >= 8 else len(item)
+    for d in range(1 - len(item), len(text)):
+        same = [0]
+        for i, w in enumerate(item):
+            same.append(same[-1] + (0 <= i + d < len(text) and text[i + d] == w))
+        if any(same[j] - same[i] >= wanted and 5 * (same[j] - same[i]) >= 4 * (j - i) for i in range(len(item)) for j in range(i + wanted, len(item) + 1)):
+            return True
+    return False
+
+
+def test_decontamination_against_all_stretches(spark):
+    """Every single replaced word and a fifth or more at random, in items of 8 to 50 words."""
+    draw = random.Random(8)
+    vocabulary, filler = [f"v{i}" for i in range(60)], [f"f{i}" for i in range(40)]
+    docs, items = {}, {n: draw.choices(vocabulary, k=n) for n in (3, 7, *range(8, 19), 20, 25, 26, 30, 40, 50)}
+    for n, item in items.items():
+        ways = [{i} for i in range(n)] + [set(draw.sample(range(n), k)) for k in {n // 5, n // 5 + 1, n // 3} for _ in range(6)]
+        for places in ways:
+            own = [draw.choice(filler) if i in places else w for i, w in enumerate(item)]
+            cut = draw.choice([0, 0, 0, draw.randrange(n)])
+            docs[len(docs)] = (n, draw.choices(filler + vocabulary[:9], k=draw.randrange(12)) + own[cut:] + draw.choices(filler, k=draw.randrange(9)))
+    found = decontaminate.contaminated(spark.createDataFrame([(i, " ".join(t)) for i, (_, t) in docs.items()], "doc_id long, text string"),
+                                       spark.createDataFrame([(n, " ".join(t)) for n, t in items.items()], "item_id long, text string")).collect()
+    own = {(r.doc_id, r.item_id) for r in found}
+    want = {(i, n) for i, (n, text) in docs.items() if holds(items[n], text)}
+    assert {(i, n) for i, n in own if docs[i][0] == n} == want and 300 < len(want) < len(docs)
+    for r in found:
+        item, text = items[r.item_id], docs[r.doc_id][1]
+        same = sum(0 <= r.doc_word + i < len(text) and text[r.doc_word + i] == item[r.item_word + i] for i in range(r.n_words))
+        assert same == r.n_equal and 5 * same >= 4 * r.n_words and holds(item, text)
+
+
 def test_decontamination_of_table(spark):
     """Every document that has most five-word shingles of an item is found, and no other."""
     def split(text):
