@@ -107,13 +107,37 @@ def read_turns(formatted: Column) -> Column:
     return F.transform(F.regexp_extract_all(formatted, F.lit(_TURN), F.lit(0)), turn)
 
 
+def example_replies(formatted: DataFrame) -> DataFrame:
+    """One row per assistant turn, as a trainer is given it: conv_id, example, context_end (bytes of
+    the formatted text that are its context) and target, the reply with its own marks cut out of the
+    text behind the context. Only the reply between the marks is trainable."""
+    cut = F.transform("examples", lambda e: F.struct(e["context_end"].alias("context_end"), F.decode(F.substring(
+        F.col("formatted"), (e["context_end"] + 1).cast("int"), (e["reply_end"] - e["context_end"]).cast("int") + len(MARKS["assistant"][1])), "UTF-8").alias("target")))
+    return formatted.select("conv_id", F.posexplode(cut).alias("example", "e")).select("conv_id", "example", "e.*")
+
+
+def trainable(target: Column) -> Column:
+    """The reply's own text of a target: what stands between an assistant's marks, unescaped."""
+    before, after = MARKS["assistant"]
+    whole = F.startswith(target, F.lit(before)) & F.endswith(target, F.lit(after))
+    return F.when(whole, unescape(F.substring(target, F.lit(len(before) + 1), F.length(target) - len(before) - len(after))))
+
+
 def format_digest(formatted: DataFrame) -> DataFrame:
     """What can be read back from formatted conversations: conv_id, n_turns, turns_sha256,
-    loss_chars, loss_sha256, formatted_chars, n_examples."""
-    read = formatted.select(
-        "conv_id", read_turns(F.decode("formatted", "UTF-8")).alias("turns"),
-        F.array_join(F.transform("examples", lambda e: unescape(_reply(e))), "").alias("loss"),
-        F.length(F.decode("formatted", "UTF-8")).cast("long").alias("formatted_chars"), F.size("examples").cast("long").alias("n_examples"))
+    loss_chars, loss_sha256, formatted_chars, n_examples, context_bytes (of all examples together).
+
+    The loss columns and the counts of examples come from one row per example; a target without its
+    marks has no trainable text, which makes the digests differ."""
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
-                       F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars", "n_examples")
+    read = formatted.select("conv_id", read_turns(F.decode("formatted", "UTF-8")).alias("turns"),
+                            F.length(F.decode("formatted", "UTF-8")).cast("long").alias("formatted_chars"))
+    read = read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), "formatted_chars")
+    replies = example_replies(formatted).select(F.col("conv_id").alias("conv"), "example", "context_end", trainable(F.col("target")).alias("reply"))
+    loss = replies.groupBy("conv").agg(
+        F.array_join(F.sort_array(F.collect_list(F.struct("example", "reply")))["reply"], "").alias("loss"),
+        F.count("*").alias("examples"), F.sum("context_end").cast("long").alias("context"))
+    both = read.join(loss, read["conv_id"].eqNullSafe(loss["conv"]), "left")
+    text = F.coalesce("loss", F.lit(""))
+    return both.select("conv_id", "n_turns", "turns_sha256", F.length(text).cast("long").alias("loss_chars"), F.sha2(text, 256).alias("loss_sha256"), "formatted_chars",
+                       F.coalesce("examples", F.lit(0)).cast("long").alias("n_examples"), F.coalesce("context", F.lit(0)).cast("long").alias("context_bytes"))
