@@ -71,13 +71,13 @@ sized AS (
     + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 12 WHEN 'system' THEN 13
       ELSE 16 + strlen(replace(replace(role, '%', '%25'), ']', '%5D')) END AS bytes FROM turns),
 placed AS (
-  SELECT *, 3 + coalesce(sum(bytes) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM sized)
+  SELECT *, 3 + coalesce(sum(bytes) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM sized)
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   (3 + sum(size))::BIGINT AS formatted_chars, count(*) FILTER (role = 'assistant') AS n_examples,
-  coalesce(sum(at) FILTER (role = 'assistant'), 0)::BIGINT AS context_bytes
+  coalesce(sum(ahead) FILTER (role = 'assistant'), 0)::BIGINT AS context_bytes
 FROM placed GROUP BY conv_id""")
 def op10_chat_format(spark, d):
     own = spark.range(2).select(
