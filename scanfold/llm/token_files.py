@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 from functools import lru_cache
 
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scanfold.llm.bpe import TextEncoder, default_vocabulary, in_small_batches
+from scanfold.llm.bpe import TextEncoder, byte_letters, default_vocabulary, in_small_batches
 from scanfold.llm.common import text_of
 from scanfold.sources.workspace import new_path, stored
 
@@ -39,6 +40,10 @@ MAGIC = b"EFIDS001"
 HEADER = struct.Struct("<HHIQQQQ")
 SAMPLE = 64
 IDS_PER_FILE = 4_000_000
+#: Documents that a reader takes at once.
+READ_DOCUMENTS = 512
+#: A space and a word without white space, as ``ChunkCache`` gives most of them.
+WORD = re.compile(r" \S+\Z")
 
 
 class EliasFano:
@@ -82,10 +87,8 @@ class EliasFano:
         cut = int.from_bytes(self.low[first // 8:(first + self.low_bits + 7) // 8].tobytes(), "little")
         return (cut >> first % 8) & ((1 << self.low_bits) - 1)
 
-    def select(self, i: int) -> int:
-        """The i-th value."""
-        if not 0 <= i < self.count:
-            raise IndexError(i)
+    def _place(self, i: int) -> int:
+        """The place of the i-th one-bit: from the sample before it, then along the bits behind."""
         place, left = int(self.samples[i // SAMPLE]), i % SAMPLE
         while left:
             window = np.unpackbits(self.high[(place + 1) // 8:(place + 1) // 8 + 64], bitorder="little")[(place + 1) % 8:]
@@ -96,14 +99,26 @@ class EliasFano:
             else:
                 left -= len(ones)
                 place += len(window)
-        return self.base + ((place - i << self.low_bits) | self._low(i))
-
-    def values(self) -> np.ndarray:
-        """All values at once, as 64-bit numbers."""
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[:self.count]
-        high = (ones - np.arange(self.count)).astype(np.uint64) << np.uint64(self.low_bits)
-        bits = np.unpackbits(self.low, bitorder="little")[:self.count * self.low_bits].reshape(self.count, self.low_bits)
-        low = (bits.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        return place
+
+    def select(self, i: int) -> int:
+        """The i-th value."""
+        if not 0 <= i < self.count:
+            raise IndexError(i)
+        return self.base + ((self._place(i) - i << self.low_bits) | self._low(i))
+
+    def values(self, start: int = 0, stop: int | None = None) -> np.ndarray:
+        """The values from start to stop, as 64-bit numbers: both ends are selected, and only the bits between are read."""
+        stop = self.count if stop is None else min(stop, self.count)
+        if start >= stop:
+            return np.zeros(0, np.int64)
+        first, last, count = self._place(start), self._place(stop - 1), stop - start
+        skip = first - first % 8
+        ones = np.flatnonzero(np.unpackbits(self.high[skip // 8:last // 8 + 1], bitorder="little")[first - skip:last + 1 - skip]) + first
+        high = (ones - np.arange(start, stop)).astype(np.uint64) << np.uint64(self.low_bits)
+        at = start * self.low_bits
+        bits = np.unpackbits(self.low[at // 8:(stop * self.low_bits + 7) // 8], bitorder="little")[at % 8:at % 8 + count * self.low_bits]
+        low = (bits.reshape(count, self.low_bits).astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
         return ((high | low) + np.uint64(self.base % 2**64)).astype(np.int64)
 
 
@@ -136,13 +151,22 @@ class TokenFile:
         return self.ids[self.ends.select(i - 1) if i else 0:self.ends.select(i)]
 
 
+class ChunkEncoder(TextEncoder):
+    """Gives whole chunks to the library, which finds the words in them itself."""
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        return self.encode_words(chunks)
+
+
 @lru_cache(maxsize=2)
 def library_encoder(vocabulary: str):
     """A function from texts to ids as bytes, by the tokenizers library, and the vocabulary's size.
 
     The library works on each different word once per cache of a worker process: its byte-level
     vocabularies split a text at special tokens, then by ``WORD_PATTERN``, and merge within words
-    only. With a vocabulary of another build, whole texts go to the library.
+    only. New words go to the library in one text, since each begins with the only space that it
+    has: the ids whose pieces begin with a space are where the words begin. With a vocabulary of
+    another build, whole texts go to the library.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -160,8 +184,29 @@ def library_encoder(vocabulary: str):
     by_word = stated["normalizer"] is None and stated["post_processor"] is None and first.get("type") == "ByteLevel" \
         and first.get("use_regex", True) and not first["add_prefix_space"] \
         and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
-    whole = TextEncoder(encode, {t["content"]: t["id"] for t in added}).encode if by_word else encode
-    return whole, tokenizer.get_vocab_size()
+    size = tokenizer.get_vocab_size()
+    if not by_word:
+        return encode, size
+    begins = np.zeros(size, bool)
+    begins[[i for piece, i in tokenizer.get_vocab(False).items() if i < size and piece.startswith(byte_letters()[ord(" ")])]] = True
+
+    def encode_words(words: list[str]) -> list[bytes]:
+        found: list = [None] * len(words)
+        joined = [i for i, w in enumerate(words) if WORD.match(w)]
+        for start in range(0, len(joined), 4096):
+            own = joined[start:start + 4096]
+            ids = np.array(tokenizer.encode_batch_fast(["".join([words[i] for i in own])], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(begins[ids]).tolist()
+            if len(cuts) == len(own):
+                raw = ids.tobytes()
+                for i, a, b in zip(own, cuts, [*cuts[1:], len(ids)]):
+                    found[i] = raw[4 * a:4 * b]
+        left = [i for i, x in enumerate(found) if x is None]
+        for i, x in zip(left, encode([words[i] for i in left])):
+            found[i] = x
+        return found
+
+    return ChunkEncoder(encode_words, {t["content"]: t["id"] for t in added}).encode, size
 
 
 def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text",
@@ -238,14 +283,14 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1)):
                 file = TokenFile(content.as_py())
-                ends = file.ends.values()
-                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                doc_ids = [None] * file.nulls + file.names.values().tolist()
-                for at in range(0, file.documents, 512):
-                    cut = range(at, min(at + 512, file.documents))
+                for at in range(0, file.documents, READ_DOCUMENTS):
+                    to = min(at + READ_DOCUMENTS, file.documents)
+                    ends = file.ends.values(at, to)
+                    starts = np.concatenate([[file.ends.select(at - 1) if at else 0], ends[:-1]]).astype(np.int64)
+                    doc_ids = [None] * (min(to, file.nulls) - min(at, file.nulls)) + file.names.values(max(at - file.nulls, 0), max(to - file.nulls, 0)).tolist()
                     yield pa.RecordBatch.from_arrays([
-                        pa.array([name.as_py()] * len(cut)), pa.array([doc_ids[i] for i in cut], pa.int64()), pa.array(starts[cut.start:cut.stop]),
-                        pa.array([file.ids[starts[i]:ends[i]].astype("<u4").tobytes() for i in cut], pa.binary())], schema=schema)
+                        pa.array([name.as_py()] * (to - at)), pa.array(doc_ids, pa.int64()), pa.array(starts),
+                        pa.array([file.ids[i:j].astype("<u4").tobytes() for i, j in zip(starts.tolist(), ends.tolist())], pa.binary())], schema=schema)
 
     return found.mapInArrow(run, "file string, doc_id long, local long, ids binary")
 

@@ -103,3 +103,25 @@ def test_one_document_from_a_file():
     file = token_files.TokenFile(token_files.pack_file([None, -4, 7], [2, 1, 3], np.arange(6), 2))
     assert [file.name(i) for i in range(3)] == [None, -4, 7]
     assert [file.document(i).tolist() for i in range(3)] == [[0, 1], [2], [3, 4, 5]]
+
+
+def test_parts_of_a_sequence():
+    draw = random.Random(3)
+    for values in ([5], [0, 0, 0], [-2**63, -1, 2**63 - 1], sorted(draw.randrange(-10**6, 10**9) for _ in range(700)), list(range(300)), []):
+        made = token_files.EliasFano.from_bytes(token_files.EliasFano.of(np.array(values, np.int64)).to_bytes())
+        for _ in range(40):
+            a, b = sorted((draw.randrange(len(values) + 1), draw.randrange(len(values) + 2)))
+            assert made.values(a, b).tolist() == values[a:b]
+
+
+def test_joined_words_against_library():
+    """New words go to the library in one text; odd white space, marks, special strings and first words don't."""
+    draw = random.Random(11)
+    tokenizer = Tokenizer.from_file(bpe.default_vocabulary())
+    pieces = [" ", " ", " ", "  ", "\n", "\t ", "\xa0", "\x1c", "\x85", " ", "​", "'s", "'", "don't", "<|endoftext|>", "<|endof", "é", "é", "東京", "🙂", "\x00",
+              "12", "a", "word", "Ġ", "_x", "...", "-", "﻿", "İ"]
+    texts = ["".join(draw.choices(pieces, k=draw.randrange(30))) for _ in range(6000)] + [" ".join(f"w{draw.randrange(10**6)}" for _ in range(9000))]
+    encode, _ = token_files.library_encoder(bpe.default_vocabulary())
+    for start in range(0, len(texts), 500):
+        own = texts[start:start + 500]
+        assert encode(own) == [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch(own, add_special_tokens=False)]
