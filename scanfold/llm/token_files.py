@@ -187,8 +187,9 @@ def library_encoder(vocabulary: str):
     size = tokenizer.get_vocab_size()
     if not by_word:
         return encode, size
+    space = byte_letters()[ord(" ")]
     begins = np.zeros(size, bool)
-    begins[[i for piece, i in tokenizer.get_vocab(False).items() if i < size and piece.startswith(byte_letters()[ord(" ")])]] = True
+    begins[[i for piece, i in tokenizer.get_vocab(False).items() if i < size and piece.startswith(space)]] = True
 
     def encode_words(words: list[str]) -> list[bytes]:
         found: list = [None] * len(words)
