@@ -46,10 +46,10 @@ MOST_WORDS = 1 << WORD_BITS
 MOST_PAIRS = 1 << 22
 TILE_BITS = 10
 #: A tile is counted densely once so many of its pairs are met at a time; so many dense tiles a task keeps.
-DENSE_FROM = 1 << 16
-DENSE_TILES = 8
+DENSE_FROM = 1 << 14
+DENSE_TILES = 2
 #: Pairs and phrases that a task holds before it counts them, and words before it sends them on.
-HELD = 1 << 22
+HELD = 1 << 19
 HELD_TEXTS = 1 << 17
 
 #: Signs that end a piece; a full stop stands for all of them, as no word holds one.
