@@ -24,8 +24,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
-from itertools import chain, combinations
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,12 @@ BUCKETS = 1 << 19
 #: Lengths of the beginnings that stand for a word beside the word itself.
 BEGINNINGS = (3, 4, 5, 6, 7)
 WORD = re.compile(r"[^\W\d_]+")
+#: What the characters of an ASCII text become so that splitting at spaces gives its words.
+ASCII_WORDS = {i: chr(i).lower() if chr(i).isalpha() else " " for i in range(128)}
+#: Words that a task knows at most; they are forgotten beyond.
+KNOWN_WORDS = 150_000
+#: The table of the CRC-32 that ``zlib`` counts.
+CRC = np.array([zlib.crc32(bytes([i ^ 0xFF])) ^ 0xFF000000 for i in range(256)], np.uint32)
 #: Labelled rows that the fit takes at most.
 MOST_LABELLED = 200_000
 #: Extreme-value score of a p-value of 0.05.
@@ -63,29 +71,68 @@ def tokens_of(word: str) -> list[int]:
     return [zlib.crc32(("=" + word).encode()) % BUCKETS, *(zlib.crc32(word[:k].encode()) % BUCKETS for k in BEGINNINGS if k <= len(word))]
 
 
-class WordTokens(dict):
-    """Buckets by word for one task, emptied when many."""
+def words_of(text: str) -> list[str]:
+    """The words of a text in lower case."""
+    return text.translate(ASCII_WORDS).split() if text.isascii() else WORD.findall(text.lower())
 
-    def __missing__(self, word: str) -> list[int]:
-        if len(self) > 200_000:
-            self.clear()
-        found = self[word] = tokens_of(word)
-        return found
 
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Whether ``WORD`` takes a character, by code point."""
+    return np.fromiter((c.isalnum() and not c.isdecimal() for c in map(chr, range(0x110000))), bool, 0x110000)
 
-class WordWeights(dict):
+
+def places_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the matches of ``WORD``, as code points."""
+    own = _letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
+    edges = np.flatnonzero(np.diff(own, prepend=False, append=False))
+    return edges[::2], edges[1::2]
+
+
+#: The place in ``tokens_of`` of a beginning of so many characters, 0 for none.
+PLACES = np.array([BEGINNINGS.index(k) + 1 if k in BEGINNINGS else 0 for k in range(max(BEGINNINGS) + 2)])
+
+
+def buckets_of(words: list[str]) -> np.ndarray:
+    """``tokens_of`` of each word as a row, -1 where a word has no beginning of that length."""
+    found = np.full((len(words), 1 + len(BEGINNINGS)), -1, np.int64)
+    data = [w.encode() for w in words]
+    found[:, 0] = np.fromiter((zlib.crc32(b"=" + x) % BUCKETS for x in data), np.int64, len(data))
+    plain = np.fromiter(map(bytes.isascii, data), bool, len(data))
+    for own, width in ((np.flatnonzero(plain), max(BEGINNINGS)), (np.flatnonzero(~plain), 4 * max(BEGINNINGS))):
+        if not len(own):
+            continue
+        # Beginnings grow byte by byte; one ends where the next byte begins a character.
+        chars = np.array([data[i] for i in own.tolist()], f"S{width}").view(np.uint8).reshape(-1, width)
+        begins = np.concatenate([chars & 0xC0 != 0x80, np.ones((len(own), 1), bool)], axis=1)
+        count, state = np.zeros(len(own), np.int64), np.full(len(own), 0xFFFFFFFF, np.uint32)
+        for at in range(width):
+            state = CRC[(state ^ chars[:, at]) & 0xFF] ^ (state >> 8)
+            count += begins[:, at]
+            place = PLACES[np.minimum(count, len(PLACES) - 1)]
+            ended = np.flatnonzero((place > 0) & begins[:, at + 1] & (chars[:, at] > 0))
+            found[own[ended], place[ended]] = (state[ended] ^ 0xFFFFFFFF) % BUCKETS
+    return found
+
+
+class WordWeights:
     """Weights by word for one task, emptied when many."""
 
     def __init__(self, model: ToxicityModel):
-        super().__init__()
-        self.weights, self.gap = model.weights, model.gap
-
-    def __missing__(self, word: str) -> float:
-        if len(self) > 300_000:
-            self.clear()
-        own = self.weights[tokens_of(word)]
-        found = self[word] = float(own[np.abs(own).argmax()]) - self.gap
-        return found
+        self.weights, self.gap, self.known = model.weights, model.gap, {}
+
+    def of(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The weights of the words of each text; words not known yet are worked on together."""
+        if len(self.known) > KNOWN_WORDS:
+            self.known.clear()
+        new = list(set().union(*texts).difference(self.known))
+        if new:
+            rows = buckets_of(new)
+            own = np.where(rows < 0, np.float32(0), self.weights[rows])
+            best = own[np.arange(len(new)), np.abs(own).argmax(axis=1)].astype(np.float64) - self.gap
+            self.known.update(zip(new, best.tolist()))
+        known = self.known.__getitem__
+        return [np.fromiter(map(known, x), np.float64, len(x)) for x in texts]
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -130,12 +177,24 @@ def count_words(texts: DataFrame) -> np.ndarray:
     documents, clean ones, toxic ones."""
 
     def run(batches):
-        counts, known = np.zeros((3, BUCKETS), np.int64), WordTokens()
+        counts, held = np.zeros((3, BUCKETS), np.int64), [Counter() for _ in range(3)]
+
+        def hand_over():
+            for k, words in enumerate(held):
+                rows, times = buckets_of(list(words)), np.fromiter(words.values(), np.int64, len(words))
+                own = rows >= 0
+                counts[k] += np.bincount(rows[own], np.repeat(times, own.sum(axis=1)), BUCKETS).astype(np.int64)
+                words.clear()
+
         for batch in in_small_batches(batches, 0):
-            own = [[*chain.from_iterable(map(known.__getitem__, set(WORD.findall(x.lower()))))] for x in batch.column(0).to_pylist()]
-            labels = batch.column(1).to_pylist()
-            for k, chosen in enumerate((own, [x for x, y in zip(own, labels) if y == 0], [x for x, y in zip(own, labels) if y == 1])):
-                counts[k] += np.bincount(np.fromiter(chain.from_iterable(chosen), np.int64), minlength=BUCKETS)
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = set(words_of(text))
+                held[0].update(words)
+                if label is not None:
+                    held[1 + label].update(words)
+            if len(held[0]) > KNOWN_WORDS:
+                hand_over()
+        hand_over()
         some = np.flatnonzero(counts[0])
         for part in np.array_split(some, max(1, len(some) // 65536)):
             yield pa.RecordBatch.from_pydict({"bucket": part, "n": counts[0][part], "clean": counts[1][part], "toxic": counts[2][part]})
@@ -166,21 +225,20 @@ def weigh(counts: np.ndarray, prior: float, caution: float, gap: float) -> tuple
     return weights, low
 
 
-def _features(text: str, known: WordWeights, model: ToxicityModel, spans: bool):
-    """Evidence, the best extreme-value score, and the segments as (start, end, score, p)."""
-    words = WORD.findall(text.lower())
-    scores = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
-    if not len(words) or scores.max() <= 0:
+def _features(text: str, scores: np.ndarray, model: ToxicityModel, spans: bool):
+    """Evidence, the best extreme-value score, and the segments as (start, end, score, p), from the
+    weights of the text's words."""
+    if not len(scores) or scores.max() <= 0:
         return 0.0, 0.0, []
     found = maximal_segments(scores)
     scaled = [model.rate * s for _, _, s in found]
-    corrected = [x - np.log(model.constant * len(words)) for x in scaled]
+    corrected = [x - np.log(model.constant * len(scores)) for x in scaled]
     telling = [c for c in corrected if c >= SIGNIFICANT]
     passages = []
     if spans:
-        places = [(m.start(), m.end()) for m in WORD.finditer(text)] if len(text) == len(text.lower()) else None
+        starts, ends = places_of(text) if len(text) == len(text.lower()) else ((), ())
         for (start, end, s), c in zip(found, corrected):
-            where = (places[start][0], places[end - 1][1]) if places and len(places) == len(words) else (None, None)
+            where = (int(starts[start]), int(ends[end - 1])) if len(starts) == len(scores) else (None, None)
             passages.append({"start_word": start, "end_word": end, "start": where[0], "end": where[1], "score": s, "p": float(-np.expm1(-np.exp(-c)))})
     return float(sum(telling)), float(max(telling, default=0.0)), passages
 
@@ -234,13 +292,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def run(batches):
         known = WordWeights(model)
         for batch in in_small_batches(batches, 0):
-            rows = []
-            for text in batch.column(0).to_pylist():
-                words = WORD.findall(text.lower())
-                scores = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
-                found = [s for _, _, s in maximal_segments(scores)] if len(words) else []
-                rows.append((len(words), found))
-            words, segments = zip(*rows) if rows else ((), ())
+            scores = known.of([words_of(x) for x in batch.column(0).to_pylist()])
+            words, segments = [len(x) for x in scores], [[s for _, _, s in maximal_segments(x)] for x in scores]
             yield pa.RecordBatch.from_pydict({"toxic": batch.column(1).cast(pa.int32()), "words": pa.array(words, pa.int64()), "segments": pa.array(segments, pa.list_(pa.float64()))})
 
     rows = stored(texts.filter("toxic is not null").mapInArrow(run, "toxic int, words long, segments array<double>"), "toxicity-segments")
@@ -270,7 +323,8 @@ def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
         known = WordWeights(model)
         passage = pa.struct([("start_word", pa.int64()), ("end_word", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("p", pa.float64())])
         for batch in in_small_batches(batches, 1):
-            found = [_features(x, known, model, True) for x in batch.column(1).to_pylist()]
+            texts = batch.column(1).to_pylist()
+            found = [_features(x, own, model, True) for x, own in zip(texts, known.of([words_of(x) for x in texts]))]
             if model.trained and found:
                 design = _design(np.array([x[0] for x in found]), np.array([x[1] for x in found]))
                 scores = 1 / (1 + np.exp(-np.clip(design @ model.curve, -30, 30)))
@@ -306,7 +360,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     def run(batches):
         known = WordWeights(model)
         for batch in in_small_batches(batches, at):
-            found = [_features(x or "", known, model, False) for x in batch.column(at).to_pylist()]
+            texts = [x or "" for x in batch.column(at).to_pylist()]
+            found = [_features(x, own, model, False) for x, own in zip(texts, known.of([words_of(x) for x in texts]))]
             if model.trained and found:
                 odds = _design(np.array([x[0] for x in found]), np.array([x[1] for x in found])) @ model.curve
                 batch = batch.filter(pa.array(odds < 0))

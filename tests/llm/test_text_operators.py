@@ -65,6 +65,24 @@ def test_maximal_segments():
         assert [(a, b) for a, b, _ in toxicity.maximal_segments(np.array(scores))] == slow(scores)
 
 
+def test_words_of_toxicity_in_bulk():
+    """Words, places and buckets that are worked on together are those found one by one."""
+    draw = random.Random(3)
+    texts = ["", "Ab\x1cabc_abcd9abcdefghij", "Straße naïve ÉA 日本語 x²y٣z", "İstanbul 𝔘x \u0345a"]
+    texts += ["".join(draw.choices("abcXYZ é_9\n日", k=draw.randrange(60))) for _ in range(300)]
+    for text in texts:
+        assert toxicity.words_of(text) == toxicity.WORD.findall(text.lower())
+        assert list(zip(*(x.tolist() for x in toxicity.places_of(text)))) == [(m.start(), m.end()) for m in toxicity.WORD.finditer(text)]
+    words = list({"", "abcdefgé", "a" * 500}.union(*map(toxicity.words_of, texts)))
+    assert [[b for b in row if b >= 0] for row in toxicity.buckets_of(words).tolist()] == [toxicity.tokens_of(w) for w in words]
+    model = toxicity.ToxicityModel(np.random.default_rng(1).normal(size=toxicity.BUCKETS).astype(np.float32), 0.05, 1.0, 1.0, np.zeros(4))
+    known = toxicity.WordWeights(model)
+    for _ in range(2):
+        for word, (got,) in zip(words, known.of([[w] for w in words])):
+            own = model.weights[toxicity.tokens_of(word)]
+            assert got == float(own[np.abs(own).argmax()]) - 0.05
+
+
 def test_toxicity(documents, spark):
     draw = random.Random(1)
     words = ["river", "stone", "table", "green", "walk", "cloud", "paper", "light", "field", "house"]
