@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanfold.llm.bpe import in_small_batches
+from scanfold.llm.bpe import ENCODED_BYTES, in_small_batches
 from scanfold.llm.common import text_of
 from scanfold.sources.workspace import stored
 
@@ -186,7 +186,7 @@ def count_words(texts: DataFrame) -> np.ndarray:
                 counts[k] += np.bincount(rows[own], np.repeat(times, own.sum(axis=1)), BUCKETS).astype(np.int64)
                 words.clear()
 
-        for batch in in_small_batches(batches, 0):
+        for batch in in_small_batches(batches, 0, ENCODED_BYTES):
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = set(words_of(text))
                 held[0].update(words)
@@ -291,7 +291,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches):
         known = WordWeights(model)
-        for batch in in_small_batches(batches, 0):
+        for batch in in_small_batches(batches, 0, ENCODED_BYTES):
             scores = known.of([words_of(x) for x in batch.column(0).to_pylist()])
             words, segments = [len(x) for x in scores], [[s for _, _, s in maximal_segments(x)] for x in scores]
             yield pa.RecordBatch.from_pydict({"toxic": batch.column(1).cast(pa.int32()), "words": pa.array(words, pa.int64()), "segments": pa.array(segments, pa.list_(pa.float64()))})
@@ -322,7 +322,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
 
         known = WordWeights(model)
         passage = pa.struct([("start_word", pa.int64()), ("end_word", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("p", pa.float64())])
-        for batch in in_small_batches(batches, 1):
+        for batch in in_small_batches(batches, 1, ENCODED_BYTES):
             texts = batch.column(1).to_pylist()
             found = [_features(x, own, model, True) for x, own in zip(texts, known.of([words_of(x) for x in texts]))]
             if model.trained and found:
@@ -359,7 +359,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
     def run(batches):
         known = WordWeights(model)
-        for batch in in_small_batches(batches, at):
+        for batch in in_small_batches(batches, at, ENCODED_BYTES):
             texts = [x or "" for x in batch.column(at).to_pylist()]
             found = [_features(x, own, model, False) for x, own in zip(texts, known.of([words_of(x) for x in texts]))]
             if model.trained and found:
